@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -64,3 +65,14 @@ def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a path made by :func:`work_path`."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Sent:
+    """An object sent once to every executor, by value, and unpacked by each Python worker's task that asks for it."""
+
+    def __init__(self, spark: SparkSession, value: object) -> None:
+        self._packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get(self) -> object:
+        """The object."""
+        return cloudpickle.loads(self._packed.value)
