@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoolworks.functions.text import clean_term
-from spoolworks.llm import encode, leak, quota_sample, terms
+from spoolworks.llm import encode, leak, quota_sample, spans, terms
 from spoolworks.sources.tables import table
 
 SEED = 42
@@ -90,7 +90,12 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_leaks(spark, folder).select("item_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p3_sample, p5_found, p5_terms, p6_ids, p7_found, p7_leaks)}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, span_start, span_end of every stretch of 300 code points or more that another document holds too."""
+    return spans.shared_spans(table(spark, folder, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p3_sample, p5_found, p5_terms, p6_ids, p7_found, p7_leaks, p8_found)}
 
 _WIDE = "".join(chr(0xFF01 + i) for i in range(94)) + chr(0x3000) + chr(0xA0)
 _NARROW = "".join(chr(0x21 + i) for i in range(94)).replace("'", "''") + "  "
