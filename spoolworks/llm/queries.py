@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoolworks.functions.text import clean_term
-from spoolworks.llm import encode, leak, quota_sample, spans, terms
+from spoolworks.llm import encode, leak, link, quota_sample, spans, terms
 from spoolworks.sources.tables import table
 
 SEED = 42
@@ -48,6 +48,17 @@ def p3_sample(spark: SparkSession, folder: str) -> DataFrame:
     return quota_sample.draw(entities, "entity_id", sets, plan, SEED).withColumn("signature", F.regexp_replace("signature", quota_sample.OTHER, "(other)"))
 
 
+def p4_links(spark: SparkSession, folder: str) -> DataFrame:
+    """tmdb_id, mal_id, confidence of the records that describe the same work."""
+    found = link.link(table(spark, folder, "tmdb_normalized"), table(spark, folder, "mal_normalized"))
+    return found.select(F.col("l").alias("tmdb_id"), F.col("r").alias("mal_id"), F.round("value", 4).alias("confidence"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """tmdb_id, mal_id of the records that describe the same work."""
+    return p4_links(spark, folder).select("tmdb_id", "mal_id")
+
+
 TERM_FIELDS = ("genres", "original_language", "origin_country")
 
 
@@ -95,7 +106,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_spans(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p3_sample, p5_found, p5_terms, p6_ids, p7_found, p7_leaks, p8_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p3_sample, p4_found, p4_links, p5_found, p5_terms, p6_ids, p7_found, p7_leaks, p8_found)}
 
 _WIDE = "".join(chr(0xFF01 + i) for i in range(94)) + chr(0x3000) + chr(0xA0)
 _NARROW = "".join(chr(0x21 + i) for i in range(94)).replace("'", "''") + "  "
