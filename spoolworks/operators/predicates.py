@@ -39,10 +39,10 @@ def _fold(text: str) -> str:
     return text.strip().lower()
 
 
-def is_missing(column: Column, kind: T.DataType) -> Column:
+def is_missing(column: Column, kind: T.DataType, fold: Column | None = None) -> Column:
     """Whether a value is null, NaN, an empty list, or a text that stands for a missing value."""
     if isinstance(kind, T.StringType):
-        return column.isNull() | folded(column).isin(*MISSING_TEXTS)
+        return column.isNull() | (folded(column) if fold is None else fold).isin(*MISSING_TEXTS)
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         return column.isNull() | F.isnan(column)
     if isinstance(kind, (T.ArrayType, T.MapType)):
@@ -57,10 +57,25 @@ def _number(value: object) -> float | None:
         return None
 
 
-def _same(column: Column, kind: T.DataType, value: object) -> Column:
+FOLDED = "_folded_"
+
+
+def fold_columns(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``df`` with the folded form of text features beside them, computed once for all predicates on them."""
+    more = {}
+    for feature in dict.fromkeys(features):
+        kind = df.schema[feature].dataType if feature in df.columns else None
+        if isinstance(kind, T.StringType):
+            more[FOLDED + feature] = folded(F.col(feature))
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+            more[FOLDED + feature] = F.transform(F.filter(feature, lambda x: x.isNotNull()), folded)
+    return df.withColumns(more)
+
+
+def _same(column: Column, kind: T.DataType, value: object, fold: Column | None = None) -> Column:
     """Equality as between values of one kind; values of different kinds are unequal."""
     if isinstance(kind, T.StringType):
-        return folded(column) == _fold(value) if isinstance(value, str) else F.lit(False)
+        return (folded(column) if fold is None else fold) == _fold(value) if isinstance(value, str) else F.lit(False)
     if isinstance(kind, _NUMBERS):
         return column.cast("double") == float(value) if isinstance(value, (int, float)) else F.lit(False)
     if isinstance(kind, T.BooleanType):
@@ -70,14 +85,16 @@ def _same(column: Column, kind: T.DataType, value: object) -> Column:
     return F.lit(False)
 
 
-def _contains(column: Column, kind: T.DataType, value: object) -> Column:
+def _contains(column: Column, kind: T.DataType, value: object, fold: Column | None = None) -> Column:
     if isinstance(kind, T.ArrayType):
         item = kind.elementType
+        if fold is not None and isinstance(value, str):
+            return F.array_contains(fold, _fold(value))
         if isinstance(value, str) and not isinstance(item, T.StringType):
             return F.lit(False)
         return F.exists(F.filter(column, lambda x: x.isNotNull()), lambda x: _same(x, item, value))
     if isinstance(kind, T.StringType) and isinstance(value, str):
-        return F.contains(folded(column), F.lit(_fold(value)))
+        return F.contains(folded(column) if fold is None else fold, F.lit(_fold(value)))
     return F.lit(False)
 
 
@@ -90,13 +107,13 @@ def _compare(column: Column, kind: T.DataType, sign: str, value: object) -> Colu
     return F.when(F.isnan(left), F.lit(False)).otherwise(test)  # nothing compares with NaN
 
 
-def holds(column: Column, kind: T.DataType, operator: str, value: object) -> Column:
-    """Whether a present value satisfies the predicate; null where that cannot be told."""
+def holds(column: Column, kind: T.DataType, operator: str, value: object, fold: Column | None = None) -> Column:
+    """Whether a present value satisfies the predicate; null where that cannot be told. ``fold`` is its folded form."""
     name = operator.lower()
     if name == "equals":
-        return _same(column, kind, value)
+        return _same(column, kind, value, fold)
     if name == "contains":
-        return _contains(column, kind, value)
+        return _contains(column, kind, value, fold)
     if name in COMPARISONS:
         return _compare(column, kind, COMPARISONS[name], value)
     if name in ("in_set", "in"):
@@ -104,7 +121,7 @@ def holds(column: Column, kind: T.DataType, operator: str, value: object) -> Col
             return F.lit(False)
         test = F.lit(False)
         for one in sorted(value, key=str):
-            test |= _same(column, kind, one)
+            test |= _same(column, kind, one, fold)
         return test
     if name == "between" and isinstance(value, (list, tuple)) and len(value) == 2:
         return _compare(column, kind, ">=", value[0]) & _compare(column, kind, "<=", value[1])
@@ -116,8 +133,9 @@ def state(df: DataFrame, feature: str, operator: str, value: object, media: str
     result = F.lit(UNKNOWN)
     if feature in df.columns:
         column, kind = F.col(feature), df.schema[feature].dataType
-        test = holds(column, kind, operator, value)
-        result = F.when(is_missing(column, kind) | test.isNull(), UNKNOWN).when(test, KNOWN_TRUE).otherwise(KNOWN_FALSE)
+        fold = F.col(FOLDED + feature) if FOLDED + feature in df.columns else None
+        test = holds(column, kind, operator, value, fold)
+        result = F.when(is_missing(column, kind, fold) | test.isNull(), UNKNOWN).when(test, KNOWN_TRUE).otherwise(KNOWN_FALSE)
     for kind_of_media, features in NOT_OF_MEDIA.items():
         if feature in features and media in df.columns:
             result = F.when(F.col(media) == kind_of_media, NOT_APPLICABLE).otherwise(result)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from spoolworks.functions.text import strip
 from spoolworks.operators import registry
-from spoolworks.operators.predicates import NO, NO_ANSWER, YES, answer, folded, is_missing
+from spoolworks.operators.predicates import NO, NO_ANSWER, YES, answer, fold_columns, folded, is_missing
 
 MOST_QUESTIONS = 10_000
 
@@ -226,16 +226,18 @@ def from_frame(df: DataFrame) -> list[Question]:
     ]
 
 
-def answers(entities: DataFrame, questions: Sequence[Question]) -> list[Column]:
-    """One answer column for each question."""
-    return [answer(entities, q.feature, q.operator, q.value) for q in questions]
+def answers(entities: DataFrame, questions: Sequence[Question]) -> tuple[DataFrame, list[Column]]:
+    """The entities with the folded features, and one answer column for each question."""
+    ready = fold_columns(entities, [q.feature for q in questions])
+    return ready, [answer(ready, q.feature, q.operator, q.value) for q in questions]
 
 
 def answer_counts(entities: DataFrame, questions: Sequence[Question], by: Sequence[str] = ()) -> DataFrame:
     """``by..., pos, yes, no, unknown, total`` of every question, in one aggregate."""
     if not questions:
         return entities.select(*by).limit(0).selectExpr(*by, "0 AS pos", "0L AS yes", "0L AS no", "0L AS unknown", "0L AS total")
-    given = entities.select(*by, *[a.alias(f"a{i}") for i, a in enumerate(answers(entities, questions))])
+    ready, columns = answers(entities, questions)
+    given = ready.select(*by, *[a.alias(f"a{i}") for i, a in enumerate(columns)])
     counts = [c for i in range(len(questions)) for c in (F.count_if(F.col(f"a{i}") == YES).alias(f"y{i}"), F.count_if(F.col(f"a{i}") == NO).alias(f"n{i}"))]
     one = (given.groupBy(*by) if by else given.groupBy()).agg(F.count(F.lit(1)).alias("total"), *counts)
     rows = F.array(*[F.struct(F.lit(i).alias("pos"), F.col(f"y{i}").alias("yes"), F.col(f"n{i}").alias("no")) for i in range(len(questions))])
@@ -272,8 +274,8 @@ def redundancy(entities: DataFrame, questions: Sequence[Question], probe: int =
 
     Groups are numbered in the order of their first question.
     """
-    first = entities.orderBy(order).limit(probe)
-    long = first.select(F.col(order).alias("at"), F.posexplode(F.array(*answers(first, questions))).alias("pos", "ans"))
+    first, columns = answers(entities.orderBy(order).limit(probe), questions)
+    long = first.select(F.col(order).alias("at"), F.posexplode(F.array(*columns)).alias("pos", "ans"))
     vectors = long.groupBy("pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "ans"))), lambda x: x["ans"]).alias("vector"))
     numbered = vectors.withColumn("first", F.min("pos").over(Window.partitionBy("vector")))
     return numbered.select("pos", F.format_string("rg_%03d", F.dense_rank().over(Window.orderBy("first"))).alias("redundancy_group"))

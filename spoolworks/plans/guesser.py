@@ -174,7 +174,7 @@ def _sql_state(test: str, feature: str) -> str:
 
 SQL = {
     "state_equals": _sql_state(f"{sql_fold('media_type')} = 'movie'", "media_type"),
-    "state_contains_list": _sql_state(f"len(list_filter(genres, x -> {sql_fold('x')} = 'drama')) > 0", "genres"),
+    "state_contains_list": _sql_state(f"len(list_filter(genres, lambda x: {sql_fold('x')} = 'drama')) > 0", "genres"),
     "state_contains_text": _sql_state(f"contains({sql_fold('title')}, 'the')", "title"),
     "state_gte": _sql_state("rating >= 7", "rating"),
     "state_lte": _sql_state("runtime <= 90", "runtime"),
@@ -265,7 +265,7 @@ q AS (SELECT *, row_number() OVER (ORDER BY f, k) - 1 AS pos FROM everyone)"""
 _NUMBER = "CASE feature WHEN 'release_year' THEN CAST(release_year AS DOUBLE) WHEN 'runtime' THEN runtime WHEN 'num_episodes' THEN CAST(num_episodes AS DOUBLE) ELSE rating END"
 SQL_ANSWERS = f"""{SQL_QUESTIONS},
 w AS (SELECT entity_id, media_type, release_year, runtime, num_episodes, rating, {sql_fold('media_type')} AS fm, {sql_fold('original_language')} AS fl,
-  list_transform(genres, x -> {sql_fold('x')}) AS fg, list_transform(origin_country, x -> {sql_fold('x')}) AS fc FROM u),
+  list_transform(genres, lambda x: {sql_fold('x')}) AS fg, list_transform(origin_country, lambda x: {sql_fold('x')}) AS fc FROM u),
 x AS (SELECT q.pos, q.question_id, w.entity_id, q.feature, q.operator, lower(q.value) AS v, low, high, fm, fl, fg, fc, media_type, {_NUMBER} AS num FROM q CROSS JOIN w),
 a AS (SELECT pos, question_id, entity_id, CASE
   WHEN feature = 'media_type' THEN CASE WHEN fm IS NULL OR fm IN {MISSING} THEN 2 WHEN fm = v THEN 1 ELSE 0 END
@@ -298,4 +298,4 @@ round(h, 6) AS entropy, round(e, 3) AS expected_remaining, round(1 - e / total,
 for _name, _score in (("split_scores_top20", "h"), ("split_scores_top20_reduction", "1 - e / total")):
     SQL[_name] = f"""WITH {SQL_ANSWERS} SELECT question_id, text, yes, no, unknown, round({_score}, 6) AS score FROM s JOIN q USING (question_id)
 ORDER BY round({_score}, 9) DESC, (yes + no) / total DESC, pu, reliability DESC, q.pos LIMIT 20"""
-SQL["elimination_step"] = f"""WITH {U} SELECT entity_id FROM u WHERE {sql_fold('media_type')} = 'movie' AND len(genres) > 0 AND len(list_filter(genres, x -> {sql_fold('x')} = 'drama')) = 0"""
+SQL["elimination_step"] = f"""WITH {U} SELECT entity_id FROM u WHERE {sql_fold('media_type')} = 'movie' AND len(genres) > 0 AND len(list_filter(genres, lambda x: {sql_fold('x')} = 'drama')) = 0"""
