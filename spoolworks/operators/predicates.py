@@ -57,12 +57,12 @@ def _number(value: object) -> float | None:
         return None
 
 
-FOLDED = "_folded_"
+FOLDED, GONE = "_folded_", "_gone_"
 
 
 def fold_columns(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """``df`` with the folded form of text features beside them, computed once for all predicates on them."""
-    more = {}
+    """``df`` with the folded form of text features, and whether a feature is missing, computed once for all predicates."""
+    more = {GONE + f: is_missing(F.col(f), df.schema[f].dataType) for f in dict.fromkeys(features) if f in df.columns}
     for feature in dict.fromkeys(features):
         kind = df.schema[feature].dataType if feature in df.columns else None
         if isinstance(kind, T.StringType):
@@ -128,24 +128,30 @@ def holds(column: Column, kind: T.DataType, operator: str, value: object, fold:
     return F.lit(None).cast("boolean")
 
 
-def state(df: DataFrame, feature: str, operator: str, value: object, media: str = "media_type") -> Column:
-    """The state of a predicate for every row; a feature that the table lacks is missing everywhere."""
-    result = F.lit(UNKNOWN)
+def _tested(df: DataFrame, feature: str, operator: str, value: object, media: str, names: tuple) -> Column:
+    """The name for true, false, unknown or not applicable of a predicate."""
+    yes, no, unknown, not_applicable = map(F.lit, names)
+    result = unknown
     if feature in df.columns:
         column, kind = F.col(feature), df.schema[feature].dataType
         fold = F.col(FOLDED + feature) if FOLDED + feature in df.columns else None
+        gone = F.col(GONE + feature) if GONE + feature in df.columns else is_missing(column, kind, fold)
         test = holds(column, kind, operator, value, fold)
-        result = F.when(is_missing(column, kind, fold) | test.isNull(), UNKNOWN).when(test, KNOWN_TRUE).otherwise(KNOWN_FALSE)
+        result = F.when(gone, unknown).when(test, yes).when(~test, no).otherwise(unknown)
     for kind_of_media, features in NOT_OF_MEDIA.items():
         if feature in features and media in df.columns:
-            result = F.when(F.col(media) == kind_of_media, NOT_APPLICABLE).otherwise(result)
+            result = F.when(F.col(media) == kind_of_media, not_applicable).otherwise(result)
     return result
 
 
-def answer(df: DataFrame, feature: str, operator: str, value: object) -> Column:
+def state(df: DataFrame, feature: str, operator: str, value: object, media: str = "media_type") -> Column:
+    """The state of a predicate for every row; a feature that the table lacks is missing everywhere."""
+    return _tested(df, feature, operator, value, media, (KNOWN_TRUE, KNOWN_FALSE, UNKNOWN, NOT_APPLICABLE))
+
+
+def answer(df: DataFrame, feature: str, operator: str, value: object, media: str = "media_type") -> Column:
     """The answer to a predicate: YES, NO, or NO_ANSWER where it is unknown or not applicable."""
-    of = state(df, feature, operator, value)
-    return F.when(of == KNOWN_TRUE, YES).when(of == KNOWN_FALSE, NO).otherwise(NO_ANSWER).cast("tinyint")
+    return _tested(df, feature, operator, value, media, (YES, NO, NO_ANSWER, NO_ANSWER))
 
 
 def missing_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -1,8 +1,8 @@
 """Questions: generation from a population, ids, profiles, redundancy, split scores and ranking.
 
 A catalogue is small (at most MOST_QUESTIONS) and is held as Python metadata; everything about the entities stays in
-Spark. All questions are answered in one projection and counted in one aggregate, so a population is read once and only
-one row a task is shuffled.
+Spark. All questions are answered in one projection, whose answers are counted by question before they are shuffled, so a
+population is read once and a task sends one row for each question.
 """
 
 from __future__ import annotations
@@ -233,15 +233,17 @@ def answers(entities: DataFrame, questions: Sequence[Question]) -> tuple[DataFra
 
 
 def answer_counts(entities: DataFrame, questions: Sequence[Question], by: Sequence[str] = ()) -> DataFrame:
-    """``by..., pos, yes, no, unknown, total`` of every question, in one aggregate."""
+    """``by..., pos, yes, no, unknown, total`` of every question; without ``by`` also of a population without entities."""
     if not questions:
         return entities.select(*by).limit(0).selectExpr(*by, "0 AS pos", "0L AS yes", "0L AS no", "0L AS unknown", "0L AS total")
     ready, columns = answers(entities, questions)
-    given = ready.select(*by, *[a.alias(f"a{i}") for i, a in enumerate(columns)])
-    counts = [c for i in range(len(questions)) for c in (F.count_if(F.col(f"a{i}") == YES).alias(f"y{i}"), F.count_if(F.col(f"a{i}") == NO).alias(f"n{i}"))]
-    one = (given.groupBy(*by) if by else given.groupBy()).agg(F.count(F.lit(1)).alias("total"), *counts)
-    rows = F.array(*[F.struct(F.lit(i).alias("pos"), F.col(f"y{i}").alias("yes"), F.col(f"n{i}").alias("no")) for i in range(len(questions))])
-    return one.select(*by, "total", F.inline(rows)).select(*by, "pos", "yes", "no", (F.col("total") - F.col("yes") - F.col("no")).alias("unknown"), "total")
+    long = ready.select(*by, F.posexplode(F.array(*columns)).alias("pos", "ans"))
+    count = {"yes": F.count_if(F.col("ans") == YES), "no": F.count_if(F.col("ans") == NO), "unknown": F.count_if(F.col("ans") == NO_ANSWER), "total": F.count(F.lit(1))}
+    counts = long.groupBy(*by, "pos").agg(*[c.alias(n) for n, c in count.items()])
+    if by:
+        return counts
+    every = F.broadcast(entities.sparkSession.range(len(questions)).select(F.col("id").cast("int").alias("pos")))
+    return every.join(counts, "pos", "left").select("pos", *[F.coalesce(n, F.lit(0)).alias(n) for n in count])
 
 
 def profile(entities: DataFrame, questions: Sequence[Question]) -> DataFrame:
