@@ -1,7 +1,8 @@
 """Soft-logic linkage of two tables without a common key.
 
-Candidate pairs come from blocks (equal forms of a title with equal number; near-equal forms, or a shared rare word, in
-near years). On them weighted rules say what a match should satisfy, in Lukasiewicz logic over truth values in [0, 1]:
+Candidate pairs are all pairs of equal number and near years of which two forms are similar enough; their forms are met
+through pieces that so few edits cannot all touch. On them weighted rules say what a match should satisfy, in Lukasiewicz
+logic over truth values in [0, 1]:
 
 * similar titles, and similar titles with agreeing number, near year or compatible kind, imply a match;
 * a match implies similar titles, an agreeing number, a near year and a compatible kind; and no match is the default;
@@ -17,36 +18,38 @@ record's pairs, which is combined before it is shuffled. The value is the confid
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spoolworks.llm.titles import parse
 from spoolworks.session import materialise, remove_path, work_path
 
-#: Near-equal titles are met through their first or last letters, so many.
-AFFIX = 8
 #: Pairs less similar than this are no candidates (a fifth of the letters of the nearest forms differ).
 LEAST_SIMILAR = 0.5
-#: Years at most so far apart meet in a block of near years; unknown years are near all.
+#: Years at most so far apart are near; unknown years are near all.
 YEARS = 2
+#: Lengths of forms that are compared in one group, which bounds its size.
+LENGTHS = 4
+#: Classes of letters that are counted before two forms are compared, and pairs counted at once.
+LETTERS, AT_ONCE = 32, 1 << 17
 
 _TEXTS = T.ArrayType(T.StringType())
 PARSED = T.StructType(
-    [T.StructField(n, _TEXTS) for n in ("flats", "bags", "words")]
+    [T.StructField(n, _TEXTS) for n in ("flats", "bags")]
     + [T.StructField("number", T.IntegerType()), T.StructField("movie", T.BooleanType())]
-    + [T.StructField(n, _TEXTS) for n in ("exact", "near")]
 )
 
 
 @F.pandas_udf(PARSED)
 def parsed_titles(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """The comparable forms of all titles of a record, its number, and its block keys."""
+    """The comparable forms of all titles of a record and its number."""
     for batch in batches:
         rows = []
         for titles in batch:
@@ -54,10 +57,8 @@ def parsed_titles(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             flats, bags = sorted({x.flat for x in known}), sorted({x.bag for x in known})
             numbers = Counter(x.number for x in known if x.number is not None)
             number = min(numbers, key=lambda n: (-numbers[n], n)) if numbers else 1
-            near = {f"{end}{f[:AFFIX] if end in 'pq' else f[-AFFIX:]}" for forms, ends in ((flats, "ps"), (bags, "qr")) for f in forms for end in ends}
-            exact = [f"{kind}{number}:{f}" for forms, kind in ((flats, "f"), (bags, "b")) for f in forms]
-            rows.append((flats, bags, sorted({w for x in known for w in x.words if len(w) > 3}), number, any(x.movie for x in known), exact, sorted(near)))
-        yield pd.DataFrame(rows, columns=["flats", "bags", "words", "number", "movie", "exact", "near"])
+            rows.append((flats, bags, number, any(x.movie for x in known)))
+        yield pd.DataFrame(rows, columns=["flats", "bags", "number", "movie"])
 
 
 def records(df: DataFrame, identity: str = "source_id") -> DataFrame:
@@ -70,44 +71,10 @@ def records(df: DataFrame, identity: str = "source_id") -> DataFrame:
     rows = df.where(F.col(identity).isNotNull()).select(F.col(identity).alias("id"), F.explode(titles).alias("one"), F.col("release_year").cast("int").alias("year"), F.col("media_type").alias("kind"))
     merged = rows.groupBy("id").agg(F.collect_set("one").alias("titles"), F.max("year").alias("year"), F.max("kind").alias("kind"))
     forms = merged.withColumn("of", parsed_titles("titles")).select("id", "year", "kind", "of.*").where(F.size("flats") > 0)
-    alike = ["flats", "bags", "words", "number", "movie", "exact", "near", "year", "kind"]
+    alike = ["flats", "bags", "number", "movie", "year", "kind"]
     return forms.groupBy(F.xxhash64(*alike).alias("class")).agg(F.min_by(F.struct("id", *alike), "id").alias("of")).select("of.*")
 
 
-def _near_years(left: bool) -> Column:
-    """Block years: a record of the left side also stands for near years, and unknown years meet all."""
-    unknown, any_year = F.lit(-1), F.lit(-2)
-    year = F.col("year")
-    if left:
-        span = F.sequence(year - YEARS, year + YEARS)
-        return F.when(year.isNotNull(), F.concat(span, F.array(unknown))).otherwise(F.array(any_year, unknown))
-    return F.when(year.isNotNull(), F.array(year, any_year)).otherwise(F.array(unknown))
-
-
-def rare_words(left: DataFrame, right: DataFrame, keep: int = 2) -> DataFrame:
-    """``side, id, word``: the ``keep`` rarest words of each record among those that both tables have."""
-    words = left.select(F.lit(0).alias("side"), "id", F.explode("words").alias("word")).unionByName(right.select(F.lit(1).alias("side"), "id", F.explode("words").alias("word")))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("side").alias("sides")).where(F.col("sides") == 2)
-    order = Window.partitionBy("side", "id").orderBy("n", "word")
-    return words.join(counts, "word").withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep).select("side", "id", "word")
-
-
-def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct pairs ``l, r`` of records that share a block."""
-    rare = materialise(rare_words(left, right), "rare")
-
-    def keys(side: DataFrame, number: int) -> DataFrame:
-        exact = side.select("id", F.explode("exact").alias("key"))
-        near = side.select("id", F.explode("near").alias("key"), "year")
-        named = rare.where(F.col("side") == number).join(side.select("id", "number", "year"), "id")
-        named = named.select("id", F.concat_ws(":", F.lit("w"), "number", "word").alias("key"), "year")
-        dated = near.unionByName(named).select("id", "key", F.explode(_near_years(number == 0)).alias("at"))
-        return exact.select("id", "key").unionByName(dated.select("id", F.concat_ws("@", "key", "at").alias("key")))
-
-    pairs = keys(left, 0).withColumnRenamed("id", "l").join(keys(right, 1).withColumnRenamed("id", "r"), "key")
-    return pairs.select("l", "r").distinct()
-
-
 @dataclass(frozen=True)
 class Weights:
     """Weights of the rules; exclusivity is certain."""
@@ -122,6 +89,144 @@ class Weights:
     not_kind: float = 0.4
     default: float = 0.3
 
+    def needs_number(self) -> bool:
+        """Whether pairs of unequal number want 0 whatever else holds, so that they need not be candidates."""
+        return self.not_numbered + self.default > self.similar + self.dated + self.kind
+
+    def needs_year(self) -> bool:
+        """Whether pairs of far years want 0 whatever else holds."""
+        return self.not_dated + self.default > self.similar + self.numbered + self.kind
+
+
+def edits(length: int) -> int:
+    """Most edits between two forms, the longer of that length, of which less than a fifth of the letters differ."""
+    return (length - 1) // 5
+
+
+def pieces(length: int, count: int) -> list[tuple[int, int]]:
+    """Start and length of ``count`` pieces of a form; the later ones are longer by one where it does not divide."""
+    short, longer = divmod(length, count)
+    out, start = [], 0
+    for i in range(count):
+        size = short + (i >= count - longer)
+        out.append((start, size))
+        start += size
+    return out
+
+
+def longest(length: int) -> int:
+    """Length of the longest form that can be similar to one of that length."""
+    other = length
+    while other + 1 - length <= edits(other + 1):
+        other += 1
+    return other
+
+
+def shortest(length: int) -> int:
+    """Length of the shortest form that can be similar to one of that length."""
+    return length - edits(length)
+
+
+def similar_forms(left: list[str], right: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of forms, none of less than ``edits`` edits left out; the pairs are yet to be compared.
+
+    At most t edits leave one of t + 1 pieces of a form whole. The pieces of the right forms are kept by length, t, order and
+    text, and looked up at those starts in a left form where, by the number of edits before and after, one of the whole
+    pieces must lie (the multi-match-aware selection of Pass-Join). Pairs whose counts of letters are too far apart are
+    dropped: an edit changes at most one letter each way.
+    """
+    known: dict[tuple[int, int, int, str], list[int]] = defaultdict(list)
+    for j, form in enumerate(right):
+        size = len(form)
+        for t in range(edits(size), edits(longest(size)) + 1):
+            for i, (start, long) in enumerate(pieces(size, t + 1)):
+                known[size, t, i, form[start : start + long]].append(j)
+    sizes = {len(form) for form in right}
+
+    def counts(forms: list[str]) -> np.ndarray:
+        out = np.zeros((len(forms), LETTERS), dtype=np.int16)
+        for i, form in enumerate(forms):
+            for c in form:
+                out[i, ord(c) % LETTERS] += 1
+        return out
+
+    l_counts, r_counts = counts(left), counts(right)
+    plans: dict[int, list[tuple[int, int, int, int, int]]] = {}
+
+    def plan(length: int) -> list[tuple[int, int, int, int, int]]:
+        out = []
+        for size in range(shortest(length), longest(length) + 1):
+            if size in sizes:
+                t, apart = edits(max(length, size)), length - size
+                for i, (start, long) in enumerate(pieces(size, t + 1)):
+                    first, last = max(start - i, start + apart - (t - i), 0), min(start + i, start + apart + (t - i), length - long)
+                    out += [(size, t, i, at, at + long) for at in range(first, last + 1)]
+        return out
+
+    def alike(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        x, y = np.array(a), np.array(b)
+        apart = l_counts[x] - r_counts[y]
+        most = (np.maximum(l_counts[x].sum(1), r_counts[y].sum(1)) - 1) // 5
+        kept = (np.maximum(apart, 0).sum(1) <= most) & (np.maximum(-apart, 0).sum(1) <= most)
+        return x[kept], y[kept]
+
+    a: list[int] = []
+    b: list[int] = []
+    for i, form in enumerate(left):
+        if len(form) not in plans:
+            plans[len(form)] = plan(len(form))
+        met: set[int] = set()
+        for size, t, place, start, end in plans[len(form)]:
+            of = known.get((size, t, place, form[start:end]))
+            if of:
+                met.update(of)
+        a += [i] * len(met)
+        b += met
+        if len(a) >= AT_ONCE:
+            yield alike(a, b)
+            a, b = [], []
+    if a:
+        yield alike(a, b)
+
+
+def _met(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """The pairs of forms of one group: ``l, r, a, b``."""
+    found = []
+    for kind in ("f", "b"):
+        x, y = left[left["form"].str[0] == kind], right[right["form"].str[0] == kind]
+        if len(x) and len(y):
+            for i, j in similar_forms([f[1:] for f in x["form"]], [f[1:] for f in y["form"]]):
+                found.append(pd.DataFrame({"l": x["id"].to_numpy()[i], "r": y["id"].to_numpy()[j], "a": x["form"].to_numpy()[i], "b": y["form"].to_numpy()[j]}))
+    return pd.concat(found) if found else pd.DataFrame({"l": [], "r": [], "a": [], "b": []}).astype({"l": "int64", "r": "int64", "a": "object", "b": "object"})
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame, numbered: bool = True, dated: bool = True) -> DataFrame:
+    """Distinct pairs ``l, r`` of records with two flat forms, or two bags, of which less than a fifth of the letters differ.
+
+    If ``numbered``, only those of equal number; if ``dated``, only those of near or unknown years. None of these is left out.
+    """
+    unknown, any_year = F.lit(-1), F.lit(-2)
+    year = F.col("year")
+
+    def rows(side: DataFrame, at: Column, sizes: Column) -> DataFrame:
+        forms = F.concat(F.transform("flats", lambda f: F.concat(F.lit("f"), f)), F.transform("bags", lambda f: F.concat(F.lit("b"), f)))
+        number = F.col("number") if numbered else F.lit(0)
+        out = side.select("id", number.alias("number"), "year", F.explode(forms).alias("form"))
+        out = out.withColumn("at", F.explode(at if dated else F.array(F.lit(0))))
+        return out.withColumn("size", F.length("form") - 1).withColumn("sizes", F.explode(sizes)).select("id", "number", "at", "sizes", "form")
+
+    size = F.col("size")
+    least = F.greatest(size - F.floor((size - 1) / 5), F.lit(1))
+    most = F.floor((size * 5 - 1) / 4)
+    of = F.sequence(F.floor(least / LENGTHS), F.floor(most / LENGTHS))
+    a = rows(left, F.when(year.isNotNull(), F.array(year, unknown)).otherwise(F.array(any_year, unknown)), of)
+    span = F.concat(F.sequence(year - YEARS, year + YEARS), F.array(any_year))
+    b = rows(right, F.when(year.isNotNull(), span).otherwise(F.array(unknown)), F.array(F.floor(size / LENGTHS)))
+    keys = ["number", "at", "sizes"]
+    pairs = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(_met, "l bigint, r bigint, a string, b string")
+    apart = F.levenshtein("a", "b")  # the mark of the kind, the same in both, is no letter
+    return pairs.where(apart * 5 < F.greatest(F.length("a"), F.length("b")) - 1).select("l", "r").distinct()
+
 
 def _best(left: str, right: str) -> Column:
     """How near the nearest of two lists of forms are, from 0 (two fifths of the letters differ) to 1."""
@@ -139,7 +244,7 @@ COMPATIBLE = (("movie", "anime_movie"), ("tv", "anime_tv"), ("tv", "ona"), ("tv"
 
 def evidence(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """Truth values of the pairs: ``l, r, similar, number, near, kind``."""
-    columns = ["id", "flats", "bags", "words", "number", "movie", "year", "kind"]
+    columns = ["id", "flats", "bags", "number", "movie", "year", "kind"]
     a = left.select(*[F.col(c).alias(f"l_{c}") for c in columns])
     b = right.select(*[F.col(c).alias(f"r_{c}") for c in columns])
     both = pairs.join(a, pairs["l"] == a["l_id"]).join(b, F.col("r") == b["r_id"])
@@ -254,5 +359,5 @@ def link(left: DataFrame, right: DataFrame, identity: str = "source_id", weights
     them may be null, and other columns are not read. An empty table has no matches.
     """
     a, b = materialise(records(left, identity), "left"), materialise(records(right, identity), "right")
-    truth = materialise(evidence(candidate_pairs(a, b), a, b).where(F.col("similar") > LEAST_SIMILAR), "truth")
+    truth = materialise(evidence(candidate_pairs(a, b, weights.needs_number(), weights.needs_year()), a, b).where(F.col("similar") > LEAST_SIMILAR), "truth")
     return choose(infer(truth, weights), least)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from spoolworks.llm import link, titles
@@ -61,3 +63,20 @@ def test_exclusivity_prefers_the_better_pair(spark):
 
 def test_empty_tables(spark):
     assert linked(spark, [], []) == {} == linked(spark, [(1, "Oath", None, [], 2000, "tv")], [])
+
+
+def test_forms_of_few_edits_meet_wherever_the_edits_lie(spark):
+    left = [(1, "Bozaasa's Ivvory", None, [], 1981, "tv"), (2, "Tamuzzego's Hemit", None, [], 1990, "tv"), (3, "Korin Pevato", None, [], None, "tv"), (4, "Pigogupe", None, [], 2001, "tv")]
+    right = [(11, "Bozasasa's Ivory", None, [], 1981, "anime_tv"), (12, "Tamuzego's Hermit", None, [], 1991, "anime_tv"), (13, "Krin Pevaato", None, [], 1999, "anime_tv"), (14, "Pikokupe", None, [], 2001, "anime_tv")]
+    assert {(1, 11), (2, 12), (3, 13)} == set(linked(spark, left, right))
+
+
+def test_similar_forms_leaves_out_no_pair():
+    rng, alphabet = random.Random(7), "abcde "
+    for _ in range(3000):
+        form = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 40)))
+        other, most = form, len(form) // 6 if len(form) > 5 else 0
+        for _ in range(rng.randint(0, most)):  # insertions keep edits few against the longer form
+            at = rng.randrange(len(other) + 1)
+            other = rng.choice((other[:at] + rng.choice(alphabet) + other[at:], other[:at] + rng.choice(alphabet) + other[at + 1 :]))
+        assert sum(len(i) for i, _ in link.similar_forms([form], [other])) == 1 == sum(len(i) for i, _ in link.similar_forms([other], [form])), (form, other)
