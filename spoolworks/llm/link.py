@@ -12,8 +12,8 @@ logic over truth values in [0, 1]:
 
 Each grounded rule is a hinge of the pair's truth value, so the most probable values solve a convex problem. It is solved by
 consensus ADMM: every rule has a copy of each value it speaks of, improves its copies by itself in closed form, and the
-copies are averaged. Rules on one pair are expressions on its row; the two kinds of exclusivity need the sum over a
-record's pairs, which is combined before it is shuffled. The value is the confidence of the match.
+copies are averaged, until the residuals are small. Pairs that share records, directly or through others, are solved
+together, other pairs apart. The value is the confidence of the match.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ YEARS = 2
 LENGTHS = 4
 #: Classes of letters that are counted before two forms are compared, and pairs counted at once.
 LETTERS, AT_ONCE = 32, 1 << 17
+#: Residuals under which values count as solved, and decimals they are then good for, so that ties stay ties.
+SETTLED, DECIMALS = 1e-6, 4
 
 _TEXTS = T.ArrayType(T.StringType())
 PARSED = T.StructType(
@@ -287,11 +289,12 @@ def own_value(rules: list[tuple[str, float]]) -> Column:
     return -F.array_min(F.array(*[F.struct(F.round(loss(y), 9).alias("loss"), (-y).alias("y")) for y in points]))["y"]
 
 
-def infer(truth: DataFrame, weights: Weights = Weights(), rounds: int = 16, step: float = 1.0) -> DataFrame:
+def infer(truth: DataFrame, weights: Weights = Weights(), rounds: int | None = None, step: float = 1.0) -> DataFrame:
     """``l, r, similar, value``: the values of the pairs that solve the hinge-loss problem.
 
     Exclusivity only lowers values, so a pair whose own rules want 0 has 0 and takes nothing from others, and a pair without
-    rivals among the rest has the value that its own rules want. Both are exact; ADMM solves what is contested.
+    rivals among the rest has the value that its own rules want. Both are exact; ADMM solves what is contested, until it
+    settles or, if given, for ``rounds`` rounds at most.
     """
     grounded, rules = ground(truth, weights)
     wanted = materialise(grounded.withColumn("own", own_value(rules)), "wanted")
@@ -305,38 +308,59 @@ def infer(truth: DataFrame, weights: Weights = Weights(), rounds: int = 16, step
     return solved.unionByName(alone).unionByName(wanted.where(F.col("own") <= 0).select(*columns, F.lit(0.0).alias("value")))
 
 
-def _admm(grounded: DataFrame, rules: list[tuple[str, float]], rounds: int, step: float) -> DataFrame:
-    """``l, r, similar, value`` after ``rounds`` of consensus ADMM.
-
-    The state of each round is written to the shared folder, which cuts the lineage, and that of the round before removed.
-    """
-    spark = grounded.sparkSession
-    names = [n for n, _ in rules] + ["once_l", "once_r"]
-    state = grounded.withColumns({"z": F.col("up_numbered"), **{f"u_{n}": F.lit(0.0) for n in names}})
-    schema, before = state.schema, None
-    for _ in range(rounds):
-        copies = {}
-        for name, weight in rules:
-            v = F.col("z") - F.col(f"u_{name}")
-            point, pull = F.col(name), abs(weight) / step
-            copies[name] = F.greatest(v, F.least(v + pull, point)) if weight > 0 else F.least(v, F.greatest(v - pull, point))
-        joined = state
-        for side in ("l", "r"):
-            v = F.col("z") - F.col(f"u_once_{side}")
-            over = state.groupBy(side).agg(F.greatest((F.sum(v) - 1) / F.count(F.lit(1)), F.lit(0.0)).alias(f"over_{side}"))
-            joined = joined.join(over, side)
-            copies[f"once_{side}"] = v - F.col(f"over_{side}")
-        moved = joined.withColumns({f"x_{n}": c for n, c in copies.items()})
-        mean = sum((F.col(f"x_{n}") + F.col(f"u_{n}") for n in names), F.lit(0.0)) / len(names)
-        moved = moved.withColumn("new", F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean)))
-        fresh = {"z": F.col("new"), **{f"u_{n}": F.col(f"u_{n}") + F.col(f"x_{n}") - F.col("new") for n in names}}
-        path = work_path(spark, "admm")
-        moved.select(*[fresh.get(c, F.col(c)).alias(c) for c in schema.names]).write.parquet(path)
-        state = spark.read.schema(schema).parquet(path)
+def _groups(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with ``group``, the least l that is reached through shared records: groups have no record in common."""
+    spark = pairs.sparkSession
+    now, before = pairs.withColumn("group", F.col("l")), None
+    while True:
+        by_l = now.groupBy("l").agg(F.min("group").alias("of_l"))
+        by_r = now.groupBy("r").agg(F.min("group").alias("of_r"))
+        least = F.least("of_l", "of_r")
+        moved = now.join(by_l, "l").join(by_r, "r").withColumn("moved", least < F.col("group")).withColumn("group", least).drop("of_l", "of_r")
+        path = work_path(spark, "groups")
+        moved.write.parquet(path)
         if before:
             remove_path(spark, before)
-        before = path
-    return state.select("l", "r", "similar", F.col("z").alias("value"))
+        now, before = spark.read.schema(moved.schema).parquet(path), path
+        if now.where("moved").isEmpty():
+            return now.drop("moved")
+        now = now.drop("moved")
+
+
+def solve(points: np.ndarray, weights: np.ndarray, left: np.ndarray, right: np.ndarray, start: np.ndarray, rounds: int | None = None, step: float = 1.0) -> np.ndarray:
+    """The values of pairs by consensus ADMM: a row of ``points`` for each rule, the numbers of the pairs' two records.
+
+    The rounds end when no copy is more than ``SETTLED`` from its mean (primal residual) and no mean moves by more (dual).
+    """
+    pull, up = np.abs(weights)[:, None] / step, weights[:, None] > 0
+    sides = [(of, np.bincount(of)) for of in (left, right)]
+    z, u, done = start.astype("float64"), np.zeros((len(weights) + 2, len(start))), 0
+    while rounds is None or done < rounds:
+        v = z - u
+        own = v[:-2]
+        x = np.where(up, np.maximum(own, np.minimum(own + pull, points)), np.minimum(own, np.maximum(own - pull, points)))
+        once = [w - np.maximum((np.bincount(of, w) - 1) / n, 0.0)[of] for w, (of, n) in zip(v[-2:], sides)]
+        x = np.vstack([x, *once])
+        new = np.clip((x + u).mean(axis=0), 0.0, 1.0)
+        u += x - new
+        settled = np.abs(x - new).max() < SETTLED and step * np.abs(new - z).max() < SETTLED
+        z, done = new, done + 1
+        if settled:
+            break
+    return z.round(DECIMALS)
+
+
+def _admm(grounded: DataFrame, rules: list[tuple[str, float]], rounds: int | None, step: float) -> DataFrame:
+    """``l, r, similar, value`` of contested pairs. Each group of pairs that share records is solved by itself, in one task."""
+    names, weights = [n for n, _ in rules], np.array([w for _, w in rules])
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["l", "r"])
+        left, right = pd.factorize(rows["l"])[0], pd.factorize(rows["r"])[0]
+        value = solve(rows[names].to_numpy("float64").T, weights, left, right, rows["up_numbered"].to_numpy(), rounds, step)
+        return rows[["l", "r", "similar"]].assign(value=value)
+
+    return _groups(grounded).groupBy("group").applyInPandas(one, "l bigint, r bigint, similar double, value double")
 
 
 def choose(values: DataFrame, least: float = 0.5) -> DataFrame:

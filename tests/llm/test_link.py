@@ -80,3 +80,13 @@ def test_similar_forms_leaves_out_no_pair():
             at = rng.randrange(len(other) + 1)
             other = rng.choice((other[:at] + rng.choice(alphabet) + other[at:], other[:at] + rng.choice(alphabet) + other[at + 1 :]))
         assert sum(len(i) for i, _ in link.similar_forms([form], [other])) == 1 == sum(len(i) for i, _ in link.similar_forms([other], [form])), (form, other)
+
+
+def test_rivals_of_near_years_are_solved(spark):
+    rows = [(1, 11, 1.0, 1.0, 1.0, 1.0), (1, 12, 1.0, 1.0, 0.9, 1.0), *((i, j, 1.0, 1.0, 1.0, 1.0) for i in (2, 3) for j in (21, 22))]
+    truth = spark.createDataFrame(rows, "l bigint, r bigint, similar double, number double, near double, kind double")
+    values = link.infer(truth)
+    got = {(r.l, r.r): r.value for r in values.collect()}
+    assert got[1, 11] > 0.5 > got[1, 12] and abs(got[1, 11] + got[1, 12] - 1) < 1e-3
+    assert all(abs(got[i, j] - 0.5) < 1e-3 for i in (2, 3) for j in (21, 22))
+    assert (1, 11) in {(r.l, r.r) for r in link.choose(values).collect()}
