@@ -74,7 +74,28 @@ def p2_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return profile.mask_divergence(_histogram(spark, folder), "feed_id", "load_id").withColumn("divergence", F.round("divergence", 6))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_profile, p2_rare_masks, p2_divergence)}
+def _whole_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "development_entities")
+    return profile.value_histogram(rows, ["feed_id", "load_id"], [c for c in rows.columns if c not in ("feed_id", "load_id")])
+
+
+def p2_profile_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Profile of every column but the load keys of every load."""
+    rows = profile.column_profile(_whole_histogram(spark, folder), ["feed_id", "load_id"])
+    return rows.withColumns({c: F.round(c, 6) for c in ("null_rate", "dominant_share")})
+
+
+def p2_rare_masks_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Values of rare form of every column, by load, column and mask."""
+    return profile.rare_masks(_whole_histogram(spark, folder), ["feed_id", "load_id"])
+
+
+def p2_divergence_all(spark: SparkSession, folder: str) -> DataFrame:
+    """How far the masks of every column of each load are from those of the feed's preceding load."""
+    return profile.mask_divergence(_whole_histogram(spark, folder), "feed_id", "load_id").withColumn("divergence", F.round("divergence", 6))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_profile, p2_rare_masks, p2_divergence, p2_profile_all, p2_rare_masks_all, p2_divergence_all)}
 
 def _sql_number(name: str) -> str:
     """The SQL text of a number, as ``profile.number_text`` writes it."""

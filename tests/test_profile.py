@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from spoolworks.operators import profile
+from spoolworks.plans import records
 
 RULES = {"v": profile.Rule(1, 100), "y": profile.Rule(1890, 2030, moved=8, relative=False)}
 
@@ -67,3 +68,12 @@ def test_divergence_and_rare_masks(spark):
     assert 0.9 < profile.mask_divergence(histogram, "feed", "load").first().divergence <= 1
     assert profile.rare_masks(histogram, ["feed", "load"], 0.5).select("mask").distinct().first().mask == "?"
     assert profile.rare_masks(profile.value_histogram(df.where("load = 1"), ["feed", "load"], ["c"]), ["feed", "load"], 0.05).collect() == [(1, 1, "c", "?", 2)]
+
+
+def test_every_column_is_profiled(spark):
+    folder = "/root/testdata/sf0.001"
+    columns = set(spark.read.parquet(f"{folder}/development_entities.parquet").columns) - {"feed_id", "load_id"}
+    whole, seven = records.p2_profile_all(spark, folder), records.p2_profile(spark, folder)
+    assert {r[0] for r in whole.select("column_name").distinct().collect()} == columns
+    assert seven.exceptAll(whole).isEmpty()
+    assert {r[0] for r in records.p2_divergence_all(spark, folder).select("column_name").distinct().collect()} == columns
