@@ -5,12 +5,16 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spoolworks.operators import audit, questions, resolve, simulate, strata
 from spoolworks.plans import figures, guesser, pipeline, records
 from spoolworks.session import build_session
 from spoolworks.sources.tables import table
 
+#: Seed of the benchmark's sample, the reference's.
+SAMPLE_SEED = 42
+
 
 def _match(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return resolve.link_tables(table(spark, a.root, "tmdb_normalized"), table(spark, a.root, "mal_normalized"))
@@ -29,10 +33,16 @@ def _status(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return audit.view_counts(pipeline.canonical_rows(spark, a.root))
 
 
-def _benchmark(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+def _population(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     entities = guesser.universe(spark, a.root)
     if a.sample:
-        entities = entities.orderBy("entity_id").limit(a.sample)
+        # the smallest hashes are a draw from all sources; the order of ids would take one source first
+        entities = entities.orderBy(F.sha2(F.concat(F.lit(f"{SAMPLE_SEED}:"), "entity_id"), 256), "entity_id").limit(a.sample)
+    return entities
+
+
+def _benchmark(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    entities = _population(spark, a)
     found = questions.qualify(entities, questions.generate(entities))
     if a.inspect:
         frame = questions.to_frame(spark, found)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import inspect
 import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from spoolworks import cli
 from spoolworks.operators import predicates, questions, registry, simulate
+from spoolworks.plans import figures
 
 ENTITY = "entity_id string, title string, media_type string, genres array<string>, release_year double, original_language string, origin_country array<string>, runtime double, num_episodes double, rating double"
 
@@ -164,3 +167,18 @@ def test_too_large_a_matrix_is_refused(spark, four, monkeypatch):
     monkeypatch.setattr(simulate, "MOST_MATRIX_BYTES", 3)
     with pytest.raises(ValueError):
         simulate.matrix(four, [questions.Question("?", "media_type", "equals", "movie", "media")])
+
+
+def test_benchmark_population_is_drawn_from_all_sources(spark):
+    top = cli.parser()
+    every = cli._population(spark, top.parse_args(["--root", "/root/testdata/sf0.001", "benchmark", "--sample", "0"]))
+    total, mal = every.count(), every.where("entity_id LIKE 'mal%'").count()
+    args = top.parse_args(["--root", "/root/testdata/sf0.001", "benchmark", "--sample", str(mal)])
+    got, again = ({r[0] for r in cli._population(spark, args).select("entity_id").collect()} for _ in range(2))
+    share = sum(i.startswith("mal") for i in got) / len(got)
+    assert got == again and len(got) == mal and abs(share - mal / total) < 0.2
+
+
+def test_registered_games_are_the_whole_workload():
+    defaults = inspect.signature(simulate.run_games).parameters
+    assert all(sorted(figures.GAMES[n]) == sorted(defaults[n].default) for n in ("policies", "seeds")) and figures.GAMES["games"] == defaults["games"].default
