@@ -101,18 +101,19 @@ def fuzzy_edges(blocks: DataFrame) -> DataFrame:
     return scored.groupBy("l", "r").agg(F.max("similarity").alias("similarity"), F.max(rank).alias("rank"))
 
 
-def assign(edges: DataFrame, score: tuple[str, ...], consuming: int = 2, most_rounds: int = 100) -> DataFrame:
+def assign(edges: DataFrame, score: tuple[str, ...], consuming: int = 2) -> DataFrame:
     """Greedy one-to-one links as made record by record in the order of ``l``, without going record by record.
 
     ``edges`` are ``l, r, rank`` and the score columns (greatest first, then the least r). Each left record takes its best
     edge whose right record no earlier left record holds; only edges of rank ``consuming`` or more hold. Every round, all
     left records pick among the right records not held by an earlier one, and the holds are computed anew, until nothing
-    changes. The rows are the picks, those of lower rank included.
+    changes; each settles at least the next left record, so the end is always reached. n records of equal choice take n rounds.
+    The rows are the picks, those of lower rank included.
     """
     best = F.struct(*score, -F.col("r"))
     edges = materialise(edges, "edges")
     held = None
-    for _ in range(most_rounds):
+    while True:
         free = edges
         if held is not None:
             holders = held.select(F.col("l").alias("holder"), "r")
@@ -122,7 +123,6 @@ def assign(edges: DataFrame, score: tuple[str, ...], consuming: int = 2, most_ro
         if held is not None and now.exceptAll(held).isEmpty() and held.exceptAll(now).isEmpty():
             return picks.join(now.withColumnRenamed("l", "owner"), "r", "left").where((F.col("rank") < consuming) | (F.col("owner") == F.col("l"))).drop("owner")
         held = now
-    raise RuntimeError("the assignment did not settle")
 
 
 def link_tables(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import inspect
 import json
 import math
 import random
@@ -215,3 +216,9 @@ def test_validator_sees_faults(spark):
 
 def test_queries_are_registered():
     assert set(pipeline.SQL) <= set(pipeline.QUERIES)
+
+
+def test_assignment_of_a_hot_title_has_no_limit_of_rounds(spark):
+    assert "most_rounds" not in inspect.signature(resolve.assign).parameters
+    edges = spark.createDataFrame([(i, 10 + j, 3) for i in range(4) for j in range(4)], "l bigint, r bigint, rank int")
+    assert {(r.l, r.r) for r in resolve.assign(edges, ("rank",)).collect()} == {(i, 10 + i) for i in range(4)}
