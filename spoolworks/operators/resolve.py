@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spoolworks.operators import normalize
-from spoolworks.session import materialise
+from spoolworks.session import Scratch
 
 # Media types of the two sources that may be the same work; confidences by rank.
 COMPATIBLE = (("movie", "anime_movie"), ("tv", "anime_tv"), ("tv", "ona"), ("tv", "special"), ("tv", "ova"))
@@ -111,29 +111,31 @@ def assign(edges: DataFrame, score: tuple[str, ...], consuming: int = 2) -> Data
     The rows are the picks, those of lower rank included.
     """
     best = F.struct(*score, -F.col("r"))
-    edges = materialise(edges, "edges")
-    held = None
-    while True:
-        free = edges
-        if held is not None:
-            holders = held.select(F.col("l").alias("holder"), "r")
-            free = edges.join(holders, "r", "left").where(F.col("holder").isNull() | (F.col("holder") >= F.col("l"))).drop("holder")
-        picks = materialise(free.groupBy("l").agg(F.max_by(F.struct("r", "rank", *[c for c in score if c != "rank"]), best).alias("of")).select("l", "of.*"), "picks")
-        now = materialise(picks.where(F.col("rank") >= consuming).groupBy("r").agg(F.min("l").alias("l")).select("l", "r"), "held")
-        if held is not None and now.exceptAll(held).isEmpty() and held.exceptAll(now).isEmpty():
-            return picks.join(now.withColumnRenamed("l", "owner"), "r", "left").where((F.col("rank") < consuming) | (F.col("owner") == F.col("l"))).drop("owner")
-        held = now
+    with Scratch(edges.sparkSession) as kept, Scratch(edges.sparkSession) as rounds:
+        edges, held = kept.keep(edges, "edges"), None
+        while True:
+            free = edges
+            if held is not None:
+                holders = held.select(F.col("l").alias("holder"), "r")
+                free = edges.join(holders, "r", "left").where(F.col("holder").isNull() | (F.col("holder") >= F.col("l"))).drop("holder")
+            picks = rounds.keep(free.groupBy("l").agg(F.max_by(F.struct("r", "rank", *[c for c in score if c != "rank"]), best).alias("of")).select("l", "of.*"), "picks")
+            now = rounds.keep(picks.where(F.col("rank") >= consuming).groupBy("r").agg(F.min("l").alias("l")).select("l", "r"), "held")
+            if held is not None and now.exceptAll(held).isEmpty() and held.exceptAll(now).isEmpty():
+                settled = picks.join(now.withColumnRenamed("l", "owner"), "r", "left").where((F.col("rank") < consuming) | (F.col("owner") == F.col("l")))
+                return rounds.hand_over(settled.drop("owner"), "links")
+            held = now
+            rounds.clear(but=2)
 
 
 def link_tables(first: DataFrame, second: DataFrame) -> DataFrame:
     """``l, r, match_confidence, match_method, similarity``: exact links, then fuzzy links of what is left."""
-    left, right = sides(first, second)
-    left, right = materialise(left, "left"), materialise(right, "right")
-    exact = assign(exact_edges(left, right).withColumn("first", -F.col("place")), ("rank", "first"))
-    good = exact.where(F.col("rank") >= 2)
-    rest_l = left.join(good.select(F.col("l").alias("id")), "id", "left_anti")
-    rest_r = right.join(good.select(F.col("r").alias("id")), "id", "left_anti")
-    fuzzy = assign(fuzzy_edges(fuzzy_blocks(rest_l, rest_r)), ("similarity", "rank"))
+    with Scratch(first.sparkSession) as scratch:
+        left, right = (scratch.keep(side, "titles") for side in sides(first, second))
+        exact = assign(exact_edges(left, right).withColumn("first", -F.col("place")), ("rank", "first"))
+        good = exact.where(F.col("rank") >= 2)
+        rest_l = left.join(good.select(F.col("l").alias("id")), "id", "left_anti")
+        rest_r = right.join(good.select(F.col("r").alias("id")), "id", "left_anti")
+        fuzzy = assign(fuzzy_edges(fuzzy_blocks(rest_l, rest_r)), ("similarity", "rank"))
     name = F.element_at(F.create_map(*[x for r, n in CONFIDENCE.items() for x in (F.lit(r), F.lit(n))]), F.col("rank"))
     return exact.select("l", "r", name.alias("match_confidence"), F.lit("exact_title").alias("match_method"), F.lit(1.0).alias("similarity")).unionByName(
         fuzzy.select("l", "r", name.alias("match_confidence"), F.lit("fuzzy_title").alias("match_method"), F.round("similarity", 4).alias("similarity"))

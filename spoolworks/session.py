@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -48,17 +50,63 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_FOLDERS: dict[str, SparkSession] = {}
+
+
+def _sweep() -> None:
+    """Remove the folders of this process's applications."""
+    for folder, spark in _FOLDERS.items():
+        with suppress(Exception):  # the application may have ended before
+            remove_path(spark, folder)
+
+
 def work_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, below a folder of the application, which is removed when the process ends."""
+    folder = f"{shared_dir(spark)}/spoolworks-{spark.sparkContext.applicationId}"
+    if not _FOLDERS:
+        atexit.register(_sweep)
+    _FOLDERS[folder] = spark
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut and survives the loss of executors."""
-    spark = df.sparkSession
-    path = work_path(spark, label)
+    return _written(df, work_path(df.sparkSession, label))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """The tables between the steps of one operator, in the shared folder; ``with`` removes them, also after a failure."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.clear()
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        """Write a table of the run and read it back, as :func:`materialise` does."""
+        path = work_path(self.spark, label)
+        self.paths.append(path)
+        return _written(df, path)
+
+    def clear(self, but: int = 0) -> None:
+        """Remove the tables, but for the last ones."""
+        gone = self.paths[: len(self.paths) - but]
+        self.paths = self.paths[len(gone) :]
+        for path in gone:
+            remove_path(self.spark, path)
+
+    def hand_over(self, df: DataFrame, label: str = "result") -> DataFrame:
+        """Write what the run returns, so that it outlives the run's tables; it goes with the application's folder."""
+        return materialise(df, label)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
