@@ -37,8 +37,13 @@ def p3_report(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(_plan(spark, folder)[2].report, quota_sample.REPORT)
 
 
+def p3_targets(spark: SparkSession, folder: str) -> DataFrame:
+    """The sizes, wanted numbers and supplies of the report, which do not depend on the draw."""
+    return p3_report(spark, folder).select("target_set", "dimension", "category", "sample_size", "wanted", "supply")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    """target_set, category of the targets that the table cannot meet."""
+    """target_set, category of the targets that no exchange of records could meet."""
     return p3_report(spark, folder).where(F.col("unmet") == "supply").select("target_set", "category")
 
 
@@ -106,7 +111,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_spans(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p3_sample, p4_found, p4_links, p5_found, p5_terms, p6_ids, p7_found, p7_leaks, p8_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p3_targets, p3_sample, p4_found, p4_links, p5_found, p5_terms, p6_ids, p7_found, p7_leaks, p8_found)}
 
 _WIDE = "".join(chr(0xFF01 + i) for i in range(94)) + chr(0x3000) + chr(0xA0)
 _NARROW = "".join(chr(0x21 + i) for i in range(94)).replace("'", "''") + "  "
@@ -126,8 +131,7 @@ t AS (SELECT field_name, {_sql_term('v')} AS term, entity_id FROM raw),
 f AS (SELECT field_name, term, count(*) AS occurrences, count(DISTINCT entity_id) AS records FROM t WHERE term IS NOT NULL GROUP BY ALL),
 n AS (SELECT count(DISTINCT entity_id) AS total FROM canonical_entities)"""
 
-SQL = {
-    "p3_found": f"""
+_SQL_TARGETS = f"""
 WITH e AS (SELECT DISTINCT entity_id, coalesce({_sql_term('media_type')}, 'unknown') AS media_type,
   CASE WHEN release_year BETWEEN 1890 AND 2030 THEN CAST(release_year // 10 * 10 AS VARCHAR) || 's' ELSE 'unknown' END AS release_year,
   coalesce({_sql_term('original_language')}, 'missing') AS original_language FROM canonical_entities WHERE entity_id IS NOT NULL),
@@ -135,9 +139,15 @@ n AS (SELECT count(DISTINCT entity_id) AS total FROM e),
 c AS (SELECT 'media_type' AS dimension, media_type AS category, count(DISTINCT entity_id) AS supply FROM e GROUP BY ALL
   UNION ALL SELECT 'release_year', release_year, count(DISTINCT entity_id) FROM e GROUP BY ALL
   UNION ALL SELECT 'original_language', original_language, count(DISTINCT entity_id) FROM e GROUP BY ALL),
-w AS (SELECT *, sample_permille * total // 1000 AS size FROM sample_targets, n)
-SELECT target_set, category FROM w LEFT JOIN c USING (dimension, category)
-WHERE coalesce(supply, 0) < greatest(min_rows, (share_permille * size + 999) // 1000)""",
+w AS (SELECT *, sample_permille * total // 1000 AS size FROM sample_targets, n),
+r AS (SELECT target_set, dimension, category, CAST(size AS BIGINT) AS size, CAST(greatest(min_rows, (share_permille * size + 999) // 1000) AS BIGINT) AS wanted, coalesce(supply, 0) AS supply
+  FROM w LEFT JOIN c USING (dimension, category))"""
+
+SQL = {
+    "p3_found": f"""{_SQL_TARGETS}
+SELECT target_set, category FROM r WHERE supply < wanted""",
+    "p3_targets": f"""{_SQL_TARGETS}
+SELECT target_set, dimension, category, size AS sample_size, wanted, supply FROM r""",
     "p5_found": f"""
 WITH {_SQL_TERMS}
 SELECT field_name, term, 'rare' AS mark FROM f WHERE records <= 2

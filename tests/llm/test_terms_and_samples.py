@@ -67,21 +67,57 @@ def test_samples_meet_what_can_be_met(spark):
     assert sum(r.kind == "a" and r.target_set == "one" for r in drawn) == 500 and sum(r.side == "x" and r.target_set == "two" for r in drawn) == 400
 
 
-def test_repair_never_breaks_floors_and_ends():
+def some_counts(rng, categories=(3, 2, 4)):
+    """A target set over some dimensions, its known counts, and the members of each target as a matrix."""
+    names = [f"d{i}" for i in range(rng.integers(1, len(categories) + 1))]
+    targets = [quota_sample.Target(d, f"c{c}", 0, 0) for d, n in zip(names, categories) for c in range(n) if rng.random() < 0.7] or [quota_sample.Target("d0", "c0", 0, 0)]
+    one = quota_sample.TargetSet("s", 100, targets)
+    signatures = sorted({"\u0001".join(rng.choice([t.category for t in targets if t.dimension == d] + [quota_sample.OTHER]) for d in one.dimensions) for _ in range(20)})
+    known = quota_sample.Counts(one, signatures, rng.integers(0, 60, len(signatures)))
+    parts = [dict(zip(one.dimensions, s.split("\u0001"))) for s in signatures]
+    return known, np.array([[p[t.dimension] == t.category for p in parts] for t in targets])
+
+
+def test_repair_never_breaks_floors_and_ends_where_no_exchange_improves():
     rng = np.random.default_rng(1)
-    for _ in range(200):
-        signatures, targets = rng.integers(1, 8), rng.integers(1, 6)
-        available = rng.integers(0, 60, signatures)
-        member = rng.random((targets, signatures)) < 0.4
+    for _ in range(150):
+        known, member = some_counts(rng)
+        available, targets = known.available, len(member)
         supply = member.astype(int) @ available
+        assert (known.held(available) == supply).all()
         floors, wanted = np.minimum(rng.integers(0, 5, targets), supply), rng.integers(0, 50, targets)
         size = int(rng.integers(0, available.sum() + 1))
-        start = quota_sample.start_counts(available, member, floors, size, rng)
-        counts, _ = quota_sample.repair(start, available, member, wanted, floors)
+        start = quota_sample.start_counts(known, floors, size, rng)
+        counts, _ = quota_sample.repair(known, start, wanted, floors)
         assert start.sum() == counts.sum() == min(size, available.sum()) and (counts >= 0).all() and (counts <= available).all()
         before, after = member.astype(int) @ start, member.astype(int) @ counts
         assert np.abs(after - wanted).sum() <= np.abs(before - wanted).sum()
         assert (after >= np.minimum(floors, before)).all()
+        for a in np.flatnonzero(counts > 0):  # brute force over single exchanges
+            for b in np.flatnonzero(counts < available):
+                then = after - member[:, a] + member[:, b]
+                if a != b and (then >= np.minimum(floors, after)).all():
+                    assert np.abs(then - wanted).sum() >= np.abs(after - wanted).sum()
+
+
+def test_draws_of_any_size_are_whole_and_even():
+    rng = np.random.default_rng(3)
+    for free in ([5, 0, 7, 1], [10**15, 3, 10**16], [0, 0], []):
+        free = np.array(free, np.int64)
+        for n in (0, 1, 3, int(free.sum()), int(free.sum()) + 9, int(free.sum()) // 3):
+            got = quota_sample.draw_counts(free, n, rng)
+            assert got.sum() == min(n, free.sum()) and (got >= 0).all() and (got <= free).all()
+    sums = sum(quota_sample.draw_counts(np.array([10, 20, 70]), 10, rng) for _ in range(2000)) / 2000
+    assert np.abs(sums - [1, 2, 7]).max() < 0.1
+
+
+def test_unmet_targets_are_found_by_the_repair(monkeypatch):
+    one = quota_sample.TargetSet("s", 100, [quota_sample.Target("d", "few", 500, 0), quota_sample.Target("d", "many", 600, 0)])
+    known, rng = quota_sample.Counts(one, ["few", "many", quota_sample.OTHER], [30, 900, 70]), np.random.default_rng(2)
+    assert quota_sample.reachable(known, 0, 50, 100, rng) == 30 and quota_sample.reachable(known, 1, 60, 100, rng) >= 60
+    assert quota_sample.reachable(known, 0, 20, 10, rng) >= 20  # a sample as large as what is wanted
+    monkeypatch.setattr(quota_sample, "repair", lambda known, counts, *_: (counts, 0))
+    assert quota_sample.reachable(known, 0, 20, 100, rng) < 20  # a random sample alone would report what can be met
 
 
 def test_empty_population(spark):
