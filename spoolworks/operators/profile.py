@@ -14,13 +14,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
-
+from spoolworks.session import Scratch
 
 def number_text(value: Column) -> Column:
     """A double as text without exponent or needless decimals: ``12``, ``12.5``, ``-3``; null and NaN are null."""
-    whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
-    return F.when(~F.isnan(value), F.when(whole, value.cast("bigint").cast("string")).otherwise(value.cast("string")))
+    whole = value == F.rint(value)
+    exact = F.when(F.abs(value) < 1e15, value.cast("bigint").cast("string")).otherwise(F.format_string("%.0f", value))
+    return F.when(~F.isnan(value), F.when(whole, exact).otherwise(value.cast("string")))
+
+
+def value_text(column: Column, kind: T.DataType) -> Column:
+    """A value as the text that is profiled: numbers without needless decimals, lists joined by commas."""
+    if isinstance(kind, T.DoubleType | T.FloatType):
+        return number_text(column.cast("double"))
+    if isinstance(kind, T.DecimalType):
+        return F.regexp_replace(F.regexp_replace(column.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    if isinstance(kind, T.ArrayType):
+        return F.array_join(column.cast("array<string>"), ",")
+    return column.cast("string")
 
 
 def mask(text: Column) -> Column:
@@ -31,30 +42,36 @@ def mask(text: Column) -> Column:
     return F.regexp_replace(digits, r"[\s\x85\p{Z}]+", " ")
 
 
-#: Masks of whole numbers.
-WHOLE_MASKS = ("9", "-9")
-
-
 def value_histogram(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Rows ``by..., column_name, value, n``: how often each value of each column occurs in each load.
 
-    Values are texts (numbers as :func:`number_text`, lists joined by commas); NaN and null both count as the null value.
-    Rows whose load is null form a load of their own. An empty table has an empty histogram.
+    Values are texts as of :func:`value_text`; NaN and null both count as the null value. Rows whose load is null form a load
+    of their own. An empty table has an empty histogram.
     """
-    pairs = []
-    for name in columns:
-        kind, column = df.schema[name].dataType, F.col(name)
-        if isinstance(kind, NUMERIC):
-            text = number_text(column.cast("double"))
-        elif isinstance(kind, T.ArrayType):
-            text = F.array_join(column.cast("array<string>"), ",")
-        else:
-            text = column.cast("string")
-        pairs.append(F.struct(F.lit(name).alias("column_name"), text.alias("value")))
+    pairs = [F.struct(F.lit(name).alias("column_name"), value_text(F.col(name), df.schema[name].dataType).alias("value")) for name in columns]
     long = df.select(*by, F.inline(F.array(*pairs)))
     return long.groupBy(*by, "column_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Masks that a column of whole numbers may have.
+WHOLE = "^-?9$"
+
+
+def dominant_masks(masks: DataFrame, admits: str | None = None) -> DataFrame:
+    """``column_name, dominant``: the masks of each column's dominant pattern, mined over all loads.
+
+    ``masks`` are rows ``column_name, mask, n``. The pattern is the column's commonest mask and the masks that differ from it
+    by a sign only; ties go to the first in code-point order. With ``admits``, a regular expression, only masks it matches
+    can be dominant; a column without such a mask has no row, and all its values violate it.
+    """
+    known = masks.where(F.col("mask").isNotNull() if admits is None else F.col("mask").rlike(admits))
+    shape = F.regexp_replace("mask", "^-", "").alias("shape")
+    overall = known.groupBy("column_name", "mask").agg(F.sum("n").alias("n"))
+    shapes = overall.groupBy("column_name", shape).agg(F.sum("n").alias("n"), F.collect_set("mask").alias("masks"))  # at most two masks a shape
+    top = shapes.groupBy("column_name").agg(F.min_by("masks", F.struct(-F.col("n"), "shape")).alias("dominant"))
+    return top.select("column_name", "dominant")
+
+
 @dataclass(frozen=True)
 class Rule:
     """What a numeric column should look like, and when a load of it has gone wrong or has moved.
@@ -70,33 +87,33 @@ class Rule:
 
 
 def load_figures(histogram: DataFrame, by: Sequence[str], rules: dict[str, Rule]) -> DataFrame:
-    """Per load and column: rows, missing, present, out_of_range, not_whole, top_count, median of plausible whole values.
+    """Per load and column: rows, missing, present, out_of_range, violations, top_count, median of plausible whole values.
 
-    The mask of each distinct value decides whether it is whole. The median is exact (mean of the middle two); it is
-    computed from value counts, of which there are at most as many as plausible whole values.
+    Everything is read off the distribution of masks: missing values are those of the null mask, and values whose mask is
+    not of the pattern mined for their column violate it. Conforming values in range are plausible; their median is exact
+    (mean of the middle two), computed from value counts, of which there are at most as many as plausible whole values.
     """
     number = F.col("value").try_cast("double")
     low = high = F.lit(None).cast("double")
     for name, rule in rules.items():
         low = F.when(F.col("column_name") == name, F.lit(float(rule.low))).otherwise(low)
         high = F.when(F.col("column_name") == name, F.lit(float(rule.high))).otherwise(high)
-    outside = (number < low) | (number > high)
-    whole = mask(F.col("value")).isin(*WHOLE_MASKS)
-    values = histogram.select(
-        *by, "column_name", "n", F.col("value").isNull().alias("gone"), F.coalesce(outside, F.lit(False)).alias("outside"),
-        F.coalesce(whole, F.lit(False)).alias("whole"), number.alias("number"),
+    masked = histogram.withColumn("mask", mask(F.col("value")))
+    mined = F.broadcast(dominant_masks(masked, WHOLE))  # one row for each of the rules
+    conforms = F.coalesce(F.array_contains("dominant", F.col("mask")), F.lit(False))
+    values = masked.join(mined, "column_name", "left").select(
+        *by, "column_name", "n", F.col("mask").isNull().alias("gone"), F.coalesce((number < low) | (number > high), F.lit(False)).alias("outside"),
+        conforms.alias("conforms"), number.alias("number"),
     )
-    good = ~F.col("gone") & ~F.col("outside") & F.col("whole")
     total = lambda condition: F.sum(F.when(condition, F.col("n")).otherwise(F.lit(0)))
     return values.groupBy(*by, "column_name").agg(
         F.sum("n").alias("rows"),
         total(F.col("gone")).alias("missing"),
         total(~F.col("gone")).alias("present"),
         total(F.col("outside")).alias("out_of_range"),
-        total(~F.col("gone") & ~F.col("whole")).alias("not_whole"),
+        total(~F.col("gone") & ~F.col("conforms")).alias("violations"),
         F.max(F.when(~F.col("gone"), F.col("n"))).alias("top_count"),
-        F.expr("percentile(CASE WHEN NOT gone AND NOT outside AND whole THEN number END, 0.5D, n)").alias("median"),
-        total(good).alias("plausible"),
+        F.expr("percentile(CASE WHEN NOT outside AND conforms THEN number END, 0.5D, n)").alias("median"),
     )
 
 
@@ -104,7 +121,7 @@ def load_issues(df: DataFrame, feed: str, load: str, rules: dict[str, Rule], tol
     """The issues ``load, column_name, issue`` of every load of every feed.
 
     * ``range`` / ``pattern``: more than ``tolerated`` per cent of the present values are outside the plausible values, or
-      have a mask other than that of a whole number;
+      violate the column's dominant pattern of whole numbers;
     * ``constant``: one value makes up more than half of the present ones;
     * ``null_rate``: the missing share differs by more than ``null_step`` from that of the feed's preceding load;
     * ``shift``: the median of plausible whole values moved further than the rule allows.
@@ -114,7 +131,13 @@ def load_issues(df: DataFrame, feed: str, load: str, rules: dict[str, Rule], tol
     of exactly the limit is no issue. Repeated rows count; an empty table has no issues.
     """
     rows = df.where(F.col(load).isNotNull()).select(feed, load, *rules)
-    figures = load_figures(value_histogram(rows, [feed, load], list(rules)), [feed, load], rules)
+    with Scratch(df.sparkSession) as scratch:  # the loads are read once, for the patterns and for the figures
+        histogram = scratch.keep(value_histogram(rows, [feed, load], list(rules)), "histogram")
+        figures = load_figures(histogram, [feed, load], rules)
+        return scratch.hand_over(_issues_of(figures, feed, load, rules, tolerated, null_step), "issues")
+
+
+def _issues_of(figures: DataFrame, feed: str, load: str, rules: dict[str, Rule], tolerated: int, null_step: float) -> DataFrame:
     earlier = Window.partitionBy(feed, "column_name").orderBy(load)
     exact = lambda name: F.col(name).cast("decimal(15,0)")
     steps = figures.withColumns({f"last_{c}": F.lag(c).over(earlier) for c in ("rows", "missing", "median")})
@@ -125,7 +148,7 @@ def load_issues(df: DataFrame, feed: str, load: str, rules: dict[str, Rule], tol
         shifted = F.when(F.col("column_name") == name, F.abs(F.col("median") - F.col("last_median")) > limit).otherwise(shifted)
     found = {
         "range": F.col("out_of_range") * 100 > F.col("present") * tolerated,
-        "pattern": F.col("not_whole") * 100 > F.col("present") * tolerated,
+        "pattern": F.col("violations") * 100 > F.col("present") * tolerated,
         "constant": F.col("top_count") * 2 > F.col("present"),
         "null_rate": share_moved,
         "shift": shifted,

@@ -24,9 +24,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Parsing deeper than this many quotations is refused.
-MOST_QUOTATIONS = 3
-
 
 class _Number(str):
     """A JSON number as it was written."""
@@ -41,7 +38,7 @@ def _parse(text: str) -> object:
 
 
 def parse_document(text: str | None) -> tuple[bool, object]:
-    """(parsed, value) of a JSON text; quoted documents are unquoted.
+    """(parsed, value) of a JSON text; quoted documents are unquoted, however often they are quoted.
 
     A text with anything but white space after the value, a part of a document, ``NaN`` and the like do not parse. A
     quoted text that is no JSON itself is an ordinary string, unless it begins as an object or list would.
@@ -52,9 +49,7 @@ def parse_document(text: str | None) -> tuple[bool, object]:
         value = _parse(text)
     except (ValueError, RecursionError):
         return False, None
-    for _ in range(MOST_QUOTATIONS):
-        if not isinstance(value, str) or isinstance(value, _Number):
-            break
+    while isinstance(value, str) and not isinstance(value, _Number):  # each time at least the two quotes go
         try:
             value = _parse(value)
         except (ValueError, RecursionError):
@@ -169,8 +164,8 @@ def shred(df: DataFrame, key: str, fields: Sequence[str], wrappers: Sequence[str
 class Entity:
     """An entity table to pivot out of the edges: objects (or plain scalars) of ``label`` in ``field``.
 
-    ``scalars`` maps output columns to the labels of scalar children, the first present one counting; a plain scalar that
-    stands for the object gives the first of them.
+    ``scalars`` maps output columns to the labels of scalar children, the first present one counting, of several scalars of
+    one label the first written; a plain scalar that stands for the object gives the first of them.
     """
 
     field: str
@@ -205,7 +200,7 @@ def entities(edges: DataFrame, key: str, wanted: Sequence[Entity]) -> DataFrame:
     for name in columns:
         choices: Column = F.lit(None).cast("string")
         ways = list(dict.fromkeys(label for e in wanted for label in e.scalars.get(name, ())))
-        found = [F.max(F.when(~own & (F.col("label") == label), F.col("scalar"))) for label in ways]
+        found = [F.min(F.when(~own & (F.col("label") == label), F.struct("node", "scalar")))["scalar"] for label in ways]
         plain = [e for e in wanted if next(iter(e.scalars)) == name]
         if plain:
             itself = F.lit(False)

@@ -25,6 +25,18 @@ def discovery_entities(spark: SparkSession, folder: str) -> DataFrame:
     return shred.entities(edges, "line_no", ENTITIES)
 
 
+def p1_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """The entity tables: every titled, genre, studio, unit and lead object with its node, the node above it and its place."""
+    rows = discovery_entities(spark, folder)
+    return rows.select("line_no", "field", "label", "node", "parent", F.array_join("ordinals", ".").alias("place"), "kind", "name", "role")
+
+
+def p1_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """The adjacency table itself."""
+    edges = shred.shred(table(spark, folder, "discovery"), "line_no", JSON_FIELDS, tagged={"alternative_titles": TITLES})
+    return edges.select("line_no", "field", "node", "parent", "label", F.array_join("ordinals", ".").alias("place"), "kind", "scalar")
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """line_no, child_path, child_name of every named entry of the three JSON fields."""
     place = lambda i: F.element_at("ordinals", i).cast("string")
@@ -95,7 +107,7 @@ def p2_divergence_all(spark: SparkSession, folder: str) -> DataFrame:
     return profile.mask_divergence(_whole_histogram(spark, folder), "feed_id", "load_id").withColumn("divergence", F.round("divergence", 6))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_profile, p2_rare_masks, p2_divergence, p2_profile_all, p2_rare_masks_all, p2_divergence_all)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p1_edges, p2_found, p2_profile, p2_rare_masks, p2_divergence, p2_profile_all, p2_rare_masks_all, p2_divergence_all)}
 
 def _sql_number(name: str) -> str:
     """The SQL text of a number, as ``profile.number_text`` writes it."""

@@ -24,8 +24,29 @@ def test_masks(spark):
 
 
 def test_number_text(spark):
-    df = spark.createDataFrame([(12.0,), (12.5,), (-3.0,), (math.nan,), (None,), (1e7,), (math.inf,)], "v double")
-    assert [r[0] for r in df.select(profile.number_text(F.col("v"))).collect()] == ["12", "12.5", "-3", None, None, "10000000", "Infinity"]
+    df = spark.createDataFrame([(12.0,), (12.5,), (-3.0,), (math.nan,), (None,), (1e7,), (math.inf,), (1e20,)], "v double")
+    assert [r[0] for r in df.select(profile.number_text(F.col("v"))).collect()] == ["12", "12.5", "-3", None, None, "10000000", "Infinity", "100000000000000000000"]
+
+
+def test_integers_and_decimals_keep_their_digits(spark):
+    df = spark.sql("SELECT 1 AS k, 9007199254740993L AS i, CAST(1.50 AS DECIMAL(10,4)) AS d, CAST(100 AS DECIMAL(10,4)) AS e")
+    got = {r.column_name: r.value for r in profile.value_histogram(df, ["k"], ["i", "d", "e"]).collect()}
+    assert got == {"i": "9007199254740993", "d": "1.5", "e": "100"}
+
+
+def test_dominant_masks_are_mined(spark):
+    rows = [("a", "9", 50), ("a", "9.9", 60), ("a", "-9", 20), ("b", "9.9", 5), ("c", "a", 3), ("c", "A", 3), ("c", None, 90)]
+    masks = spark.createDataFrame(rows, "column_name string, mask string, n int")
+    mined = lambda *args: {r.column_name: sorted(r.dominant) for r in profile.dominant_masks(masks, *args).collect()}
+    assert mined() == {"a": ["-9", "9"], "b": ["9.9"], "c": ["A"]}
+    assert mined(profile.WHOLE) == {"a": ["-9", "9"]}
+
+
+def test_a_pattern_is_violated_by_what_was_not_mined(spark, monkeypatch):
+    rows = [(1, 1, float(-i), 2000.5) for i in range(1, 41)] + [(1, 1, 3.0, 2000.5)]
+    assert {x for x in issues(spark, rows) if x[2] == "pattern"} == {(1, "y", "pattern")}  # signs are no violation
+    monkeypatch.setattr(profile, "dominant_masks", lambda masks, admits=None: masks.select("column_name", F.array("mask").alias("dominant")).limit(0))
+    assert {x for x in issues(spark, rows) if x[2] == "pattern"} == {(1, "v", "pattern"), (1, "y", "pattern")}
 
 
 def test_each_issue(spark):

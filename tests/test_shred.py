@@ -22,7 +22,11 @@ def test_only_whole_documents_parse(text, parsed):
 
 
 def test_quoted_documents_are_unquoted():
-    assert shred.parse_document(json.dumps(json.dumps({"a": [1]}))) == (True, {"a": ["1"]})
+    text = json.dumps({"a": [1]})
+    for _ in range(9):
+        text = json.dumps(text)
+        assert shred.parse_document(text) == (True, {"a": ["1"]})
+    assert shred.parse_document(json.dumps(json.dumps("plain"))) == (True, "plain")
 
 
 def rows_of(spark, lines):
@@ -60,6 +64,21 @@ def test_children_know_their_parents(spark):
     assert rows["u"].parent == rows["B"].node and rows["x"].parent == rows["u"].node and rows["y"].ordinals == [1, 0, 1]
 
 
+def test_the_first_of_several_scalars_counts(spark):
+    _, entities = rows_of(spark, [(None, '[{"name": ["first", "second"], "text": "z"}]', None)])
+    assert [r.name for r in entities.collect()] == ["first"]
+
+
+def test_entity_tables_link_children_to_parents(spark):
+    rows = records.p1_entities(spark, "/root/testdata/sf0.001").collect()
+    nodes = {(r.line_no, r.field, r.node): r for r in rows}
+    assert len(nodes) == len(rows) and {"units", "leads"} <= {r.label for r in rows} and any(r.role for r in rows)
+    for r in rows:
+        if r.label in ("units", "leads"):
+            above = nodes[r.line_no, r.field, r.parent]
+            assert above.label == {"units": "studios", "leads": "units"}[r.label] and r.place.startswith(above.place + ".")
+
+
 def test_repeated_and_null_keys_stay_apart(spark):
     df = spark.createDataFrame([(None, '[{"name": "A"}]'), (None, '[{"name": "B"}]'), (1, '[{"name": "C"}]'), (1, '[{"name": "D"}]')], "k bigint, genres string")
     wanted = [shred.Entity("genres", "genres", {"name": ("name",)})]
