@@ -47,7 +47,7 @@ def _benchmark(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     if a.inspect:
         frame = questions.to_frame(spark, found)
         return questions.ranked(questions.split_scores(questions.answer_counts(entities, found)), frame).limit(a.inspect)
-    return simulate.rates(simulate.run_games(entities, found, a.policies, a.seeds, a.games, a.most, a.mode, "popularity"))
+    return simulate.rates(simulate.run_games(entities, found, a.policies, a.seeds, a.games, a.most, a.mode))
 
 
 def _query(spark: SparkSession, a: argparse.Namespace) -> DataFrame:

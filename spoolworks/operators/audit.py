@@ -62,29 +62,40 @@ def view_counts(df: DataFrame) -> DataFrame:
     return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("view"), F.col(n).alias("rows")) for n in VIEWS])))
 
 
-def validate(sample: DataFrame, canonical: DataFrame, expected: dict[str, int], key: str = "entity_id") -> DataFrame:
-    """``name, passed, details``: the twelve checks of the views of a sample against the canonical table.
+def validate(views: dict[str, DataFrame], sample: DataFrame, canonical: DataFrame, expected: dict[str, int], key: str = "entity_id") -> DataFrame:
+    """``name, passed, details``: the twelve checks of the four views against the sample and the canonical table.
 
-    ``expected`` has the numbers of shared rows, of null dates and of canonical rows.
+    ``views`` are those of :func:`views`, wherever they come from; ``expected`` has the numbers of shared rows, of null dates
+    and of canonical rows. Ids that are null are in no set; repeated ids are.
     """
-    first, second, shared = (F.col("source").isin(*VIEWS[v]) for v in ("first", "second", "shared"))
-    distinct = lambda c, where: F.count_distinct(F.when(where, F.col(c)))
-    present = lambda c, where: F.count(F.when(where, F.col(c)))
-    one = sample.agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("ids"), F.count_if(first).alias("n1"), F.count_if(second).alias("n2"), F.count_if(shared).alias("n3"),
-        distinct(key, first).alias("d1"), distinct(key, second).alias("d2"), present("tmdb_id", first).alias("t"), distinct("tmdb_id", first).alias("td"),
-        present("mal_id", second).alias("m"), distinct("mal_id", second).alias("md"), F.count_if(F.col("release_date").isNull()).alias("dates"),
-    ).first()
-    rows = canonical.count()
-    strangers = sample.join(canonical.select(key), key, "left_anti").count()
-    checks = [
-        ("rows_equal_sample", one.n == rows, f"{one.n}, {rows}"), ("ids_in_canonical", strangers == 0, f"{strangers} strangers"), ("ids_unique", one.ids == one.n, f"{one.n - one.ids} repeated"),
-        ("first_ids_unique", one.d1 == one.n1, f"{one.n1 - one.d1} repeated"), ("second_ids_unique", one.d2 == one.n2, f"{one.n2 - one.d2} repeated"),
-        ("shared_count", one.n3 == expected["shared"], f"{one.n3}"), ("shared_in_both", one.n3 <= min(one.n1, one.n2), f"{one.n3}"), ("tmdb_id_unique", one.t == one.td, f"{one.td}"),
-        ("mal_id_unique", one.m == one.md, f"{one.md}"), ("null_dates", one.dates == expected["null_dates"], f"{one.dates}"),
-        ("inclusion", one.n1 + one.n2 - one.n3 == one.n, f"{one.n1} + {one.n2} - {one.n3} = {one.n}"), ("canonical_count", rows == expected["canonical"], f"{rows}"),
+    dev, first, second, shared = (views[n] for n in VIEWS)
+
+    def figures(df: DataFrame, name: str, *ids: str) -> DataFrame:
+        return df.agg(F.count(F.lit(1)).alias(f"{name}_rows"), *[e for i in ids for e in (F.count(i).alias(f"{name}_{i}"), F.count_distinct(i).alias(f"{name}_{i}_d"))])
+
+    def strangers(df: DataFrame, known: DataFrame, name: str) -> DataFrame:
+        return df.select(key).where(F.col(key).isNotNull()).join(known.select(key), key, "left_anti").agg(F.count_distinct(key).alias(name))
+
+    dates = dev.agg(F.count_if(F.col("release_date").isNull()).alias("dates"))
+    parts = [
+        figures(dev, "dev", key), figures(first, "first", key, "tmdb_id"), figures(second, "second", key, "mal_id"), figures(shared, "shared"), figures(sample, "sample"),
+        figures(canonical, "canonical"), dates, strangers(dev, canonical, "unknown"), strangers(shared, first, "not_first"), strangers(shared, second, "not_second"),
     ]
-    return sample.sparkSession.createDataFrame(checks, "name string, passed boolean, details string")
+    one = reduce(lambda a, b: a.crossJoin(b), parts)  # one row each
+    c = F.col
+    repeated = lambda name, i: c(f"{name}_{i}") - c(f"{name}_{i}_d")
+    unique = lambda name, i: (repeated(name, i) == 0, F.concat(repeated(name, i).cast("string"), F.lit(" repeated")))
+    counted = lambda *names: F.concat_ws(", ", *[F.concat(F.lit(f"{n} "), c(n).cast("string")) for n in names])
+    checks = {
+        "rows_equal_sample": (c("dev_rows") == c("sample_rows"), counted("dev_rows", "sample_rows")), "ids_in_canonical": (c("unknown") == 0, counted("unknown")),
+        "ids_unique": unique("dev", key), "first_ids_unique": unique("first", key), "second_ids_unique": unique("second", key),
+        "shared_count": (c("shared_rows") == expected["shared"], counted("shared_rows")),
+        "shared_in_both": ((c("not_first") == 0) & (c("not_second") == 0), counted("not_first", "not_second")),
+        "tmdb_id_unique": unique("first", "tmdb_id"), "mal_id_unique": unique("second", "mal_id"), "null_dates": (c("dates") == expected["null_dates"], counted("dates")),
+        "inclusion": (c("first_rows") + c("second_rows") - c("shared_rows") == c("dev_rows"), counted("first_rows", "second_rows", "shared_rows", "dev_rows")),
+        "canonical_count": (c("canonical_rows") == expected["canonical"], counted("canonical_rows")),
+    }
+    return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), p.alias("passed"), d.alias("details")) for n, (p, d) in checks.items()])))
 
 
 def value_counts(df: DataFrame, value: Column, keep_null: bool = False) -> DataFrame:

@@ -87,8 +87,9 @@ def genre_names(ids: Column, names: dict[int, str]) -> Column:
 
 
 def normalize_title(column: Column) -> Column:
-    """A title for comparison: NFKC, lower case, punctuation as blanks, blanks collapsed; null gives the empty text."""
-    words = F.regexp_replace(F.lower(nfkc(column)), r"(?U)[^\p{L}\p{N}\p{M}_\s]", " ")
+    """A title for comparison: NFKC, lower case, all but letters, numbers and underscores as blanks (combining marks that
+    NFKC leaves, too), blanks collapsed; null gives the empty text."""
+    words = F.regexp_replace(F.lower(nfkc(column)), r"(?U)[^\p{L}\p{N}_\s]", " ")
     return F.coalesce(strip(F.regexp_replace(words, r"(?U)\s+", " ")), F.lit(""))
 
 

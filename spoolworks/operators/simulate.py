@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoolworks.operators import questions
@@ -23,10 +24,14 @@ MOST_MATRIX_BYTES = 256_000_000
 POLICIES = ("random", "entropy", "expected_reduction")
 
 STEP = "step:int,question_id:string,question_family:string,answer:int,remaining_candidates:int"
+EMPTIED = "step:int,question_id:string,question_family:string,answer:int,candidates_before:int,candidates_after:int"
 RESULT = (
     "policy string, seed int, game int, target_entity_id string, guessed_entity_id string, correct boolean, questions_asked int, remaining_candidates int, "
-    f"terminated_reason string, history array<struct<{STEP}>>"
+    f"terminated_reason string, history array<struct<{STEP}>>, emptied struct<{EMPTIED}>"
 )
+COLUMNS = (
+    "policy", "seed", "game", "target_entity_id", "guessed_entity_id", "correct", "questions_asked", "remaining_candidates", "terminated_reason", "history", "emptied",
+)
 
 
 class Matrix:
@@ -69,16 +74,26 @@ def matrix(entities: DataFrame, catalogue: Sequence[questions.Question], key: st
     return Matrix(rows["id"].tolist(), np.ascontiguousarray(answers.T).astype(np.int8), catalogue, rows["w"].to_numpy() if weight else None)
 
 
+def target_weight() -> Column:
+    """The weight of an entity as a popular target: ``log1p`` of popularity and votes; missing and negative ones are 0."""
+    plus = lambda c: F.greatest(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
+    return F.log1p(plus("popularity") + plus("vote_count"))
+
+
 def pick_targets(m: Matrix, rng: random.Random, mode: str) -> int:
-    """A game's target: uniform, or weighted by popularity."""
-    if mode == "popularity" and m.weights is not None:
+    """A game's target: uniform, or weighted by :func:`target_weight`; weight 0 counts as 0.001."""
+    if mode == "popularity":
         upto = np.cumsum(np.where(m.weights > 0, m.weights, 0.001))
         return int(np.searchsorted(upto, rng.random() * upto[-1]))
     return rng.randrange(len(m.ids))
 
 
 def play(m: Matrix, target: int, policy: str, most: int, rng: random.Random, choose=None) -> tuple:
-    """One game: (guess, asked, remaining, reason, history). The guess is the first remaining candidate."""
+    """One game: (guess, asked, remaining, reason, history, emptied). The guess is the first remaining candidate.
+
+    ``emptied`` is the step that left no candidate, with the numbers before and after it, else null.
+    """
+    emptied = None
     candidates, asked, history, reason = np.arange(len(m.ids)), np.zeros(len(m.question_ids), bool), [], "max_questions_reached"
     for step in range(1, most + 1):
         if len(candidates) <= 1:
@@ -89,26 +104,33 @@ def play(m: Matrix, target: int, policy: str, most: int, rng: random.Random, cho
         path = tuple((h[1], h[3]) for h in history)
         q = int(rng.choice(np.flatnonzero(~asked).tolist())) if policy == "random" else choose(path, candidates, asked)
         asked[q] = True
-        answer = int(m.answers[q, target])
+        answer, before = int(m.answers[q, target]), len(candidates)
         if answer != NO_ANSWER:
             candidates = candidates[m.answers[q, candidates] == answer]
+        if before and not len(candidates):
+            emptied = dict(zip(_names(EMPTIED), (step, m.question_ids[q], m.families[q], answer, before, 0)))
         history.append((step, m.question_ids[q], m.families[q], answer, len(candidates)))
     if len(candidates) == 1:
         reason = "single_candidate"
     elif not len(candidates):
         reason = "empty_candidate_set"
     guess = m.ids[candidates[0]] if len(candidates) else None
-    return guess, len(history), len(candidates), reason, history
+    return guess, len(history), len(candidates), reason, history, emptied
+
 
+def _names(fields: str) -> list[str]:
+    return [f.split(":")[0] for f in fields.split(",")]
 
-def run_games(entities: DataFrame, catalogue: Sequence[questions.Question], policies: Sequence[str] = POLICIES, seeds: Sequence[int] = (42, 123, 999), games: int = 1000, most: int = 25, mode: str = "uniform", weight: str | None = None) -> DataFrame:
+
+def run_games(entities: DataFrame, catalogue: Sequence[questions.Question], policies: Sequence[str] = POLICIES, seeds: Sequence[int] = (42, 123, 999), games: int = 1000, most: int = 25, mode: str = "uniform") -> DataFrame:
     """Results of ``games`` games for each policy and seed, by :data:`RESULT`.
 
     The game's number and seed decide its target and a random policy's questions, however the games are distributed. The
     question that a deterministic policy asks depends only on the answers so far, so each task remembers it by these.
     """
     spark = entities.sparkSession
-    sent = Sent(spark, matrix(entities, catalogue, weight=weight))
+    weighted = entities.withColumn("_weight", target_weight()) if mode == "popularity" else entities
+    sent = Sent(spark, matrix(weighted, catalogue, weight="_weight" if mode == "popularity" else None))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m: Matrix = sent.get()
@@ -128,13 +150,14 @@ def run_games(entities: DataFrame, catalogue: Sequence[questions.Question], poli
             for policy, seed, game in batch.itertuples(index=False):
                 rng = random.Random(seed * 1_000_003 + game)
                 target = pick_targets(m, rng, mode)
-                guess, asked, left, reason, history = play(m, target, policy, most, rng, chooser(policy))
-                rows.append((policy, seed, game, m.ids[target], guess, guess == m.ids[target], asked, left, reason, [dict(zip(("step", "question_id", "question_family", "answer", "remaining_candidates"), h)) for h in history]))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ("policy", "seed", "game", "target_entity_id", "guessed_entity_id", "correct", "questions_asked", "remaining_candidates", "terminated_reason", "history")])
+                guess, asked, left, reason, history, emptied = play(m, target, policy, most, rng, chooser(policy))
+                steps = [dict(zip(_names(STEP), h)) for h in history]
+                rows.append((policy, seed, game, m.ids[target], guess, guess == m.ids[target], asked, left, reason, steps, emptied))
+            yield pd.DataFrame(rows, columns=COLUMNS)
 
     plan = spark.range(games).select(F.explode(F.array(*map(F.lit, policies))).alias("policy"), F.col("id").cast("int").alias("game"))
     plan = plan.select("policy", F.explode(F.array(*map(F.lit, seeds))).alias("seed"), "game")
-    return plan.repartition("policy", "seed", F.col("game") % 4).mapInPandas(run, RESULT)
+    return plan.repartition("policy", "seed", "game").mapInPandas(run, RESULT)
 
 
 # --- figures --------------------------------------------------------------------------------------------------------
@@ -172,9 +195,36 @@ def difficult(results: DataFrame, least: int = 20) -> DataFrame:
 
 
 def emptied(results: DataFrame) -> DataFrame:
-    """The last step of games whose candidate set became empty."""
-    last = F.element_at("history", -1)
-    return results.where(F.col("terminated_reason") == "empty_candidate_set").select("policy", "seed", "game", "target_entity_id", last.alias("last"))
+    """The steps that left no candidate, with their games' targets and the candidates before and after."""
+    return results.where(F.col("emptied").isNotNull()).select("policy", "seed", "game", "target_entity_id", "emptied.*")
+
+
+def summary(results: DataFrame, universe: int, steps: int = 10, families: int | None = None, most: int = 20) -> DataFrame:
+    """``policy, summary``: the figures of each policy as one JSON document.
+
+    It holds the games, rates and questions, the first ``steps`` of the reduction curve, the families by usage, and at most
+    ``most`` difficult games and emptied ones, first by seed and game.
+    """
+    by = ["policy"]
+    figures = rates(results, by).join(results.groupBy(*by).agg(F.min("questions_asked").alias("least_questions"), F.max("questions_asked").alias("most_questions")), by)
+    documents = [
+        figures.select("policy", F.struct(*[c for c in figures.columns if c != "policy"]).alias("rates")),
+        _listed(reduction_curve(results, universe, by).where(F.col("step") <= steps), ["step"], "curve"),
+        _listed(family_use(results, universe, by), ["-uses", "question_family"], "families", families),
+        _listed(difficult(results).drop("history", "emptied"), ["seed", "game"], "difficult", most), _listed(emptied(results), ["seed", "game"], "emptied", most),
+    ]
+    one = reduce(lambda a, b: a.join(b, "policy", "left"), documents)
+    return one.select("policy", F.to_json(F.struct("rates", *[F.coalesce(c, F.array()).alias(c) for c in ("curve", "families", "difficult", "emptied")])).alias("summary"))
+
+
+def _listed(df: DataFrame, order: Sequence[str], name: str, most: int | None = None) -> DataFrame:
+    """``policy`` and the rows of each policy as an ordered list, of which there are few or at most ``most``."""
+    keys = [-F.col(c[1:]) if c.startswith("-") else F.col(c) for c in order]
+    if most is not None:
+        df = df.withColumn("_place", F.row_number().over(Window.partitionBy("policy").orderBy(*keys))).where(F.col("_place") <= most).drop("_place")
+    rest = F.struct(*[c for c in df.columns if c != "policy"])
+    listed = F.array_sort(F.collect_list(F.struct(*[k.alias(f"_{i}") for i, k in enumerate(keys)], rest.alias("row"))))
+    return df.groupBy("policy").agg(F.transform(listed, lambda x: x["row"]).alias(name))
 
 
 def across_seeds(figures: DataFrame) -> DataFrame:

@@ -252,8 +252,7 @@ SELECT entity_id, round(sum(w) OVER (ORDER BY w, entity_id) / sum(w) OVER (), 6)
 def target_weighted_cdf(spark: SparkSession, folder: str) -> DataFrame:
     """Running share of the popularity weights by which targets are chosen."""
     rows = universe(spark, folder)
-    plus = lambda c: F.greatest(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
-    weight = F.log1p(plus("popularity") + plus("vote_count"))
+    weight = simulate.target_weight()
     weighted = rows.select("entity_id", F.when(weight > 0, weight).otherwise(0.001).alias("w"))
     total = weighted.agg(F.sum("w"))
     return stats.running(weighted, "w", ["w"], ["entity_id"]).select("entity_id", F.round(F.col("upto_w") / total.scalar(), 6).alias("upto"))
@@ -274,7 +273,7 @@ def _games(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
 @query()
 def benchmark_games(spark: SparkSession, folder: str) -> DataFrame:
     """Results of games over all entities for three policies and three seeds."""
-    return _games(spark, folder)[0].drop("history")
+    return _games(spark, folder)[0].drop("history", "emptied")
 
 
 @query()
@@ -298,7 +297,7 @@ def metrics_family(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def metrics_difficult(spark: SparkSession, folder: str) -> DataFrame:
     """Games that failed or took 20 questions."""
-    return simulate.difficult(_games(spark, folder)[0]).drop("history")
+    return simulate.difficult(_games(spark, folder)[0]).drop("history", "emptied")
 
 
 @query()

@@ -136,7 +136,7 @@ _NARROW = "".join(chr(0x21 + i) for i in range(94)).replace("'", "''") + "  "
 
 def _sql_title(x: str) -> str:
     """A normalised title; DuckDB has no NFKC, full-width forms and wide blanks are mapped and the rest is composed."""
-    return rf"coalesce(trim(regexp_replace(regexp_replace(lower(nfc_normalize(translate({x}, '{_WIDE}', '{_NARROW}'))), '[^\p{{L}}\p{{N}}\p{{M}}_\s]', ' ', 'g'), '[\s\p{{Z}}]+', ' ', 'g')), '')"
+    return rf"coalesce(trim(regexp_replace(regexp_replace(lower(nfc_normalize(translate({x}, '{_WIDE}', '{_NARROW}'))), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '[\s\p{{Z}}]+', ' ', 'g')), '')"
 
 
 _TITLES = f"SELECT source_id, source, {_sql_title('title')} AS normal FROM (SELECT * FROM tmdb_normalized UNION ALL SELECT * FROM mal_normalized)"
@@ -333,19 +333,36 @@ def views_counts(spark: SparkSession, folder: str) -> DataFrame:
     return audit.view_counts(canonical_rows(spark, folder))
 
 
-@query(f"""WITH {U}, d AS (SELECT * FROM canonical_entities WHERE entity_id IS NOT NULL), a AS (SELECT * FROM u WHERE source IN ('tmdb', 'tmdb+mal')), b AS (SELECT * FROM u WHERE source IN ('mal', 'tmdb+mal')), x AS (SELECT * FROM u WHERE source = 'tmdb+mal')
-SELECT 'rows_equal_sample' AS name, (SELECT count(*) FROM u) = (SELECT count(*) FROM d) AS passed
-UNION ALL SELECT 'ids_in_canonical', true UNION ALL SELECT 'ids_unique', true UNION ALL SELECT 'first_ids_unique', true UNION ALL SELECT 'second_ids_unique', true
-UNION ALL SELECT 'shared_count', (SELECT count(*) FROM x) = (SELECT count(*) FROM u WHERE tmdb_id IS NOT NULL AND mal_id IS NOT NULL)
-UNION ALL SELECT 'shared_in_both', true
-UNION ALL SELECT 'tmdb_id_unique', (SELECT count(tmdb_id) = count(DISTINCT tmdb_id) FROM a) UNION ALL SELECT 'mal_id_unique', (SELECT count(mal_id) = count(DISTINCT mal_id) FROM b)
-UNION ALL SELECT 'null_dates', (SELECT count(*) FROM u WHERE release_date IS NULL) = (SELECT count(DISTINCT entity_id) FROM d WHERE release_date IS NULL)
-UNION ALL SELECT 'inclusion', (SELECT count(*) FROM a) + (SELECT count(*) FROM b) - (SELECT count(*) FROM x) = (SELECT count(*) FROM u)
-UNION ALL SELECT 'canonical_count', true""")
+def _sql_checks(dev: str, sample: str, canonical: str, expected: dict[str, int]) -> str:
+    """The twelve checks over the views of ``dev``, stated one by one."""
+    ids = lambda t: f"(SELECT entity_id FROM {t} WHERE entity_id IS NOT NULL)"
+    unique = lambda c, t: f"(SELECT count({c}) = count(DISTINCT {c}) FROM {t})"
+    rows = lambda t: f"(SELECT count(*) FROM {t})"
+    checks = {
+        "rows_equal_sample": f"{rows('dev')} = {rows('sample')}", "ids_in_canonical": f"NOT EXISTS {ids('dev')[:-1]} AND entity_id NOT IN {ids('canonical')})",
+        "ids_unique": unique("entity_id", "dev"), "first_ids_unique": unique("entity_id", "a"), "second_ids_unique": unique("entity_id", "b"),
+        "shared_count": f"{rows('x')} = {expected['shared']}",
+        "shared_in_both": f"NOT EXISTS {ids('x')[:-1]} AND (entity_id NOT IN {ids('a')} OR entity_id NOT IN {ids('b')}))",
+        "tmdb_id_unique": unique("tmdb_id", "a"), "mal_id_unique": unique("mal_id", "b"), "null_dates": f"(SELECT count(*) FROM dev WHERE release_date IS NULL) = {expected['null_dates']}",
+        "inclusion": f"{rows('a')} + {rows('b')} - {rows('x')} = {rows('dev')}", "canonical_count": f"{rows('canonical')} = {expected['canonical']}",
+    }
+    views = "a AS (SELECT * FROM dev WHERE source IN ('tmdb', 'tmdb+mal')), b AS (SELECT * FROM dev WHERE source IN ('mal', 'tmdb+mal')), x AS (SELECT * FROM dev WHERE source = 'tmdb+mal')"
+    return f"dev AS ({dev}), sample AS ({sample}), canonical AS ({canonical}), {views} " + " UNION ALL ".join(f"SELECT '{n}' AS name, {c} AS passed" for n, c in checks.items())
+
+
+#: Figures that the checks expect; those of the smallest shared view, of rows without a date and of the canonical table.
+EXPECTED = {"shared": 100, "null_dates": 0, "canonical": 1500}
+
+
+@query(f"WITH {U}, {_sql_checks('SELECT * FROM u', 'SELECT * FROM u', 'SELECT * FROM canonical_entities', EXPECTED)}")
 def validator_checks(spark: SparkSession, folder: str) -> DataFrame:
-    """The twelve checks of the views against the canonical table."""
-    raw = table(spark, folder, "canonical_entities").where(F.col("entity_id").isNotNull())
+    """The twelve checks of the canonical entities' views against the canonical table."""
+    rows = canonical_rows(spark, folder)
+    return audit.validate(audit.views(rows), rows, table(spark, folder, "canonical_entities"), EXPECTED).select("name", "passed")
+
+
+@query(f"WITH {U}, {_sql_checks('SELECT * FROM development_entities', 'SELECT * FROM u', 'SELECT * FROM u WHERE media_type IS NOT NULL', EXPECTED)}")
+def validator_checks_loads(spark: SparkSession, folder: str) -> DataFrame:
+    """The twelve checks of all loads against the entities that have a media type; most of them fail."""
     rows = canonical_rows(spark, folder)
-    one = rows.agg(F.count_if(F.col("tmdb_id").isNotNull() & F.col("mal_id").isNotNull()).alias("shared"), F.count(F.lit(1)).alias("n")).first()
-    dates = raw.where(F.col("release_date").isNull()).agg(F.count_distinct("entity_id")).first()[0]
-    return audit.validate(rows, raw, {"shared": one.shared, "null_dates": dates, "canonical": raw.count()}).select("name", "passed")
+    return audit.validate(audit.views(table(spark, folder, "development_entities")), rows, rows.where(F.col("media_type").isNotNull()), EXPECTED).select("name", "passed")

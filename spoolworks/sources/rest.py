@@ -17,8 +17,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-# Seconds to wait when the server names none, the longest backoff, and attempts.
+# Seconds to wait when the server names none, the longest backoff, and attempts; pages and records read at most.
 DEFAULT_WAIT, LONGEST_WAIT, ATTEMPTS = 10.0, 60.0, 6
+MOST_PAGES, MOST_RECORDS = 18, 3000
 
 
 class HttpError(Exception):
@@ -57,7 +58,7 @@ class Client:
 
     def fetch(self, url: str, params: dict) -> dict:
         """The body of a page."""
-        for attempt in range(ATTEMPTS):
+        for attempt in range(1, ATTEMPTS + 1):
             wait = self.delay - (self.clock() - self._last)
             if wait > 0:
                 self.sleep(wait)
@@ -76,7 +77,7 @@ class Client:
         raise RuntimeError(f"{url}: no success after {ATTEMPTS} attempts")
 
 
-def pages(client: Client, url: str, params: dict, first: int = 1, most: int = 18) -> Iterator[dict]:
+def pages(client: Client, url: str, params: dict, first: int = 1, most: int = MOST_PAGES) -> Iterator[dict]:
     """Records of numbered pages, until a page is empty, the last one is reached, or ``most`` have been read."""
     for page in range(first, most + 1):
         body = client.fetch(url, params | {"page": page})
@@ -86,9 +87,9 @@ def pages(client: Client, url: str, params: dict, first: int = 1, most: int = 18
             return
 
 
-def offsets(client: Client, url: str, params: dict, limit: int = 100, most: int = 3000) -> Iterator[dict]:
+def offsets(client: Client, url: str, params: dict, limit: int = 100, first: int = 0, most: int = MOST_RECORDS) -> Iterator[dict]:
     """Records of a collection read by offset, as long as the response names a next page, up to ``most``."""
-    offset = 0
+    offset = first
     while offset < most:
         body = client.fetch(url, params | {"limit": limit, "offset": offset})
         found = body.get("data") or []
@@ -99,32 +100,46 @@ def offsets(client: Client, url: str, params: dict, limit: int = 100, most: int
 
 
 @dataclass
-class Task(InputPartition):
-    """A crawl task: its key and request parameters."""
+class Tasks(InputPartition):
+    """Crawl tasks that are read one after the other: key, endpoint, request parameters and first page or offset of each."""
 
-    key: str
-    params: dict
+    tasks: list[dict]
 
 
 class RestReader(DataSourceReader):
-    """Reads the tasks of the ``tasks`` option (a JSON list of ``{key, params}``), a partition each."""
+    """Reads the tasks of the ``tasks`` option, a JSON list of ``{key, params, endpoint, first}``; only ``key`` is needed.
 
-    def __init__(self, options: dict, client: Callable[[], Client] = Client) -> None:
+    Options: ``endpoint`` (for tasks without one), ``paging`` (``page`` or ``offset``), ``most`` pages or records of a task
+    (else the paging's own bound), ``headers`` (a JSON object), ``token`` (sent as a bearer), ``delay`` between requests and
+    ``parallel``, the tasks read at a time. The delay holds for all of these together: each waits so many times longer.
+    """
+
+    def __init__(self, options: dict, client: Callable[..., Client] = Client) -> None:
         self.options, self.client = options, client
 
-    def partitions(self) -> list[Task]:
-        """One partition a task."""
-        return [Task(t["key"], t.get("params", {})) for t in json.loads(self.options["tasks"])]
+    def partitions(self) -> list[Tasks]:
+        """One partition for each task that may run at a time."""
+        tasks, parallel = json.loads(self.options["tasks"]), int(self.options.get("parallel", 1))
+        return [Tasks(tasks[i::parallel]) for i in range(parallel) if tasks[i::parallel]]
 
-    def read(self, partition: Task) -> Iterator[tuple[str, str]]:
+    def read(self, partition: Tasks) -> Iterator[tuple[str, str]]:
         """``task_key, record`` rows; records are JSON texts."""
-        way = offsets if self.options.get("paging") == "offset" else pages
-        for record in way(self.client(), self.options["endpoint"], partition.params, most=int(self.options.get("most", 18))):
-            yield partition.key, json.dumps(record)
+        headers = json.loads(self.options.get("headers", "{}"))
+        if self.options.get("token"):
+            headers["Authorization"] = f"Bearer {self.options['token']}"
+        client = self.client(headers=headers, delay=float(self.options.get("delay", 0.26)) * int(self.options.get("parallel", 1)))
+        by_offset = self.options.get("paging") == "offset"
+        way, most = (offsets, MOST_RECORDS) if by_offset else (pages, MOST_PAGES)
+        for task in partition.tasks:
+            first = task.get("first", 0 if by_offset else 1)
+            for record in way(client, task.get("endpoint") or self.options["endpoint"], task.get("params", {}), first=first, most=int(self.options.get("most", most))):
+                yield task["key"], json.dumps(record)
 
 
 class RestSource(DataSource):
-    """The data source ``rest``."""
+    """The data source ``rest``; a subclass may name another ``client``."""
+
+    client: Callable[..., Client] = Client
 
     @classmethod
     def name(cls) -> str:
@@ -137,4 +152,4 @@ class RestSource(DataSource):
 
     def reader(self, schema) -> RestReader:
         """Its reader."""
-        return RestReader(self.options)
+        return RestReader(self.options, type(self).client)

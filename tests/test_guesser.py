@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import inspect
+import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,19 +152,58 @@ def test_games(spark):
     assert figures["entropy"].mean_questions_mean <= figures["random"].mean_questions_mean
 
 
+KNOWN_GAMES = [
+    ("p", 1, 1, "a", "a", True, 2, 1, "single_candidate", [(1, "q1", "media", 1, 40), (2, "q2", "time", 0, 1)], None),
+    ("p", 1, 2, "b", "c", False, 25, 4, "max_questions_reached", [(1, "q1", "media", 1, 40)], None),
+    ("p", 1, 3, "d", None, False, 1, 0, "empty_candidate_set", [(1, "q1", "media", 0, 0)], (1, "q1", "media", 0, 100, 0)),
+]
+
+
 def test_figures_of_the_known_games(spark):
-    rows = [("p", 1, 1, "a", "a", True, 2, 1, "single_candidate", [(1, "q1", "media", 1, 40), (2, "q2", "time", 0, 1)]), ("p", 1, 2, "b", "c", False, 25, 4, "max_questions_reached", [(1, "q1", "media", 1, 40)]),
-            ("p", 1, 3, "d", None, False, 1, 0, "empty_candidate_set", [(1, "q1", "media", 0, 0)])]
-    results = spark.createDataFrame(rows, simulate.RESULT)
+    results = spark.createDataFrame(KNOWN_GAMES, simulate.RESULT)
     row = simulate.rates(results).first()
     assert row.accuracy == pytest.approx(1 / 3) and row.failure_rate == pytest.approx(2 / 3) and row.zero_candidate_rate == pytest.approx(1 / 3)
-    assert simulate.difficult(results).count() == 2 and simulate.emptied(results).first().last.question_id == "q1"
+    emptied = simulate.emptied(results).first()
+    assert simulate.difficult(results).count() == 2 and (emptied.question_id, emptied.candidates_before, emptied.candidates_after) == ("q1", 100, 0)
     curve = {r.step: r for r in simulate.reduction_curve(results, 100).collect()}
     assert curve[0].mean_remaining == 100 and curve[1].games == 3 and curve[2].mean_remaining == 1
     family = {r.question_family: r for r in simulate.family_use(results, 100).collect()}
     assert family["media"].uses == 3 and family["media"].share == 0.75 and family["time"].mean_reduction == pytest.approx(39 / 40)
 
 
+def test_summary_document(spark):
+    results = spark.createDataFrame(KNOWN_GAMES, simulate.RESULT)
+    document = json.loads(simulate.summary(results, 100, steps=1, most=1).first().summary)
+    assert document["rates"]["games"] == 3 and document["rates"]["least_questions"] == 1 and [c["step"] for c in document["curve"]] == [0, 1]
+    assert [f["question_family"] for f in document["families"]] == ["media", "time"]
+    assert [d["game"] for d in document["difficult"]] == [2] and document["emptied"][0]["candidates_before"] == 100
+    whole = json.loads(simulate.summary(results.where("game = 1"), 100).first().summary)
+    assert whole["difficult"] == whole["emptied"] == []
+
+
+def test_a_game_tells_which_step_left_no_candidate():
+    catalogue = [questions.Question("?", "media_type", "equals", "movie", "media")]
+    m = simulate.Matrix(["a", "b"], np.array([[predicates.YES, predicates.NO]], np.int8), catalogue)
+    m.question_ids, m.families = ["q", "r"], ["media", "time"]
+    m.answers = np.array([[predicates.YES, predicates.YES, predicates.NO], [predicates.YES, predicates.YES, predicates.NO]], np.int8)
+    m.ids = ["a", "b"]  # the target, the third, is no candidate
+    guess, asked, left, reason, history, emptied = simulate.play(m, 2, "entropy", 5, random.Random(1), lambda path, candidates, asked: 0)
+    assert (guess, asked, left, reason) == (None, 1, 0, "empty_candidate_set")
+    assert emptied == {"step": 1, "question_id": "q", "question_family": "media", "answer": predicates.NO, "candidates_before": 2, "candidates_after": 0}
+
+
+def test_popular_targets_are_weighted_by_popularity_and_votes(spark):
+    rows = [("a", 1000.0, 1000), ("b", None, None), ("c", float("nan"), -5), ("d", 0.0, 50)]
+    df = spark.createDataFrame(rows, "entity_id string, popularity double, vote_count bigint")
+    got = {r[0]: r[1] for r in df.select("entity_id", simulate.target_weight()).collect()}
+    assert got == {"a": pytest.approx(math.log1p(2000)), "b": 0.0, "c": 0.0, "d": pytest.approx(math.log1p(50))}
+    m = simulate.Matrix(list("abcd"), np.zeros((1, 4), np.int8), [], np.array([got[i] for i in "abcd"]))
+    rng = random.Random(5)
+    picks = [simulate.pick_targets(m, rng, "popularity") for _ in range(4000)]
+    share = math.log1p(2000) / (math.log1p(2000) + math.log1p(50) + 0.002)
+    assert abs(picks.count(0) / 4000 - share) < 0.03 and picks.count(1) < 20
+
+
 def test_too_large_a_matrix_is_refused(spark, four, monkeypatch):
     monkeypatch.setattr(simulate, "MOST_MATRIX_BYTES", 3)
     with pytest.raises(ValueError):

@@ -31,6 +31,12 @@ def test_genres_years_and_groups(spark):
     assert [r[0] for r in years.collect()] == ["Before 1950", "Before 1950", "1950-1969", "2020+", None, None]
 
 
+def test_combining_marks_that_compose_to_nothing_are_blanks(spark):
+    df = spark.createDataFrame([("हिन्दी",), ("Cafe\u0301",), ("ย่าม!",), (None,)], "t string")
+    got = [r[0] for r in df.select(normalize.normalize_title(F.col("t"))).collect()]
+    assert got == ["ह न द", "café", "ย าม", ""]
+
+
 def test_titles(spark):
     df = spark.createDataFrame([("Ｔｈｅ  Show: Part 2!",), ("Season 3 — 2nd Season",), (None,), ("Final MOVIE",)], "t string")
     rows = df.select(normalize.normalize_title(F.col("t")).alias("n")).withColumn("m", normalize.title_modifiers(F.col("n"))).collect()
@@ -102,14 +108,24 @@ def test_enrich_multiplies_nothing(spark):
     assert sorted((r.k or 0, tuple(r.w)) for r in resolve.enrich(df, extra, "k", ("w",)).collect()) == [(0, ()), (1, ("a",)), (1, ("a",)), (2, ())]
 
 
+def in_turns(available, target):
+    """Quotas by dealing what is left over one row at a time, in turns."""
+    given = {g: min(available.get(g, 0), int(target * share)) for g, share in strata.SHARES.items()}
+    while sum(given.values()) < min(target, sum(available.values())):
+        for g in given:
+            if given[g] < available.get(g, 0) and sum(given.values()) < target:
+                given[g] += 1
+    return given
+
+
 def test_quotas():
     assert strata.quotas({"movie": 100, "tv": 5, "anime": 100, "other": 0}, 100) == {"movie": 53, "tv": 5, "anime": 42, "other": 0}
-    for seed in range(200):
+    assert strata.quotas({}, 10) == dict.fromkeys(strata.SHARES, 0) and strata.quotas({"tv": 3}, 0)["tv"] == 0
+    for seed in range(500):
         rng = random.Random(seed)
         available = {g: rng.randrange(60) for g in strata.SHARES}
         target = rng.randrange(120)
-        given = strata.quotas(available, target)
-        assert sum(given.values()) == min(target, sum(available.values())) and all(given[g] <= available[g] for g in given)
+        assert strata.quotas(available, target) == in_turns(available, target)
 
 
 def test_sample_respects_targets(spark):
@@ -166,13 +182,15 @@ def test_rest_client_waits_and_gives_up():
         return answer
 
     client = rest.Client(get, delay=0, sleep=waits.append, clock=lambda: 0.0)
-    assert list(rest.pages(client, "u", {})) == [1] and waits == [7, 2.0, 4.0]
+    assert list(rest.pages(client, "u", {})) == [1] and waits == [7, 4.0, 8.0]
     answers += [rest.HttpError(404)]
     with pytest.raises(rest.HttpError):
         client.fetch("u", {})
     answers += [rest.HttpError(503)] * 6
+    waits.clear()
     with pytest.raises(RuntimeError):
         client.fetch("u", {})
+    assert waits == [2.0, 4.0, 8.0, 16.0, 32.0, 60.0]
 
 
 def test_rest_paging():
@@ -181,8 +199,24 @@ def test_rest_paging():
     assert list(rest.pages(numbered, "u", {})) == [1, 2, 3] and list(rest.pages(numbered, "u", {}, most=1)) == [1, 2]
     by_offset = rest.Client(lambda u, p, h: {"data": [{"node": p["offset"]}], "paging": {"next": "x"} if p["offset"] < 200 else {}}, delay=0)
     assert list(rest.offsets(by_offset, "u", {})) == [0, 100, 200]
-    reader = rest.RestReader({"tasks": json.dumps([{"key": "k", "params": {"a": 1}}]), "endpoint": "u"}, lambda: numbered)
-    assert [r for t in reader.partitions() for r in reader.read(t)] == [("k", "1"), ("k", "2"), ("k", "3")]
+    made = []
+    client = lambda of: lambda **options: made.append(options) or of
+    read = lambda of, **options: [r for reader in [rest.RestReader(options, client(of))] for t in reader.partitions() for r in reader.read(t)]
+    tasks = json.dumps([{"key": "k", "params": {"a": 1}}, {"key": "l", "endpoint": "v", "first": 2}])
+    got = read(numbered, tasks=tasks, endpoint="u", headers='{"X": "y"}', token="t", delay="0.5", parallel="2")
+    assert got == [("k", "1"), ("k", "2"), ("k", "3"), ("l", "3")] and made[0] == {"headers": {"X": "y", "Authorization": "Bearer t"}, "delay": 1.0}
+    many = rest.Client(lambda u, p, h: {"data": [{"node": p["offset"]}], "paging": {"next": "x"} if p["offset"] < 900 else {}}, delay=0)
+    assert len(read(many, tasks='[{"key": "k"}]', endpoint="u", paging="offset")) == 10
+    assert len(read(many, tasks='[{"key": "k", "first": 500}]', endpoint="u", paging="offset", most="800")) == 3
+
+
+def test_rest_source_in_spark(spark):
+    class Recorded(rest.RestSource):  # a source whose client needs no network
+        client = lambda **_: rest.Client(lambda u, p, h: {"results": [f"{u}{p['page']}"], "total_pages": 2}, delay=0)
+
+    spark.dataSource.register(Recorded)
+    rows = spark.read.format("rest").options(endpoint="u", tasks='[{"key": "a"}, {"key": "b", "endpoint": "v"}]').load().collect()
+    assert sorted(map(tuple, rows)) == [("a", '"u1"'), ("a", '"u2"'), ("b", '"v1"'), ("b", '"v2"')]
 
 
 def test_streaming_ingest_is_incremental(spark, tmp_path):
@@ -206,11 +240,18 @@ def test_tasks(spark):
 def test_validator_sees_faults(spark):
     schema = "entity_id string, source string, tmdb_id bigint, mal_id bigint, release_date string"
     good = spark.createDataFrame([("a", "tmdb", 1, None, None), ("b", "mal", None, 2, "x"), ("c", "tmdb+mal", 3, 4, "x")], schema)
-    expected = {"shared": 1, "null_dates": 1, "canonical": 3}
-    assert all(r.passed for r in audit.validate(good, good, expected).collect())
+    views, expected = audit.views(good), {"shared": 1, "null_dates": 1, "canonical": 3}
+    failed = lambda v, sample=good, canonical=good: {r.name for r in audit.validate(v, sample, canonical, expected).collect() if not r.passed}
+    assert failed(views) == set()
     bad = good.unionByName(spark.createDataFrame([("a", "odd", 1, None, None)], schema))
-    failed = {r.name for r in audit.validate(bad, good, expected).collect() if not r.passed}
-    assert failed == {"rows_equal_sample", "ids_unique", "null_dates", "inclusion"}
+    assert failed(audit.views(bad)) == {"rows_equal_sample", "ids_unique", "null_dates", "inclusion"}
+    assert failed(views | {"second": good.where("entity_id = 'b'")}) == {"shared_in_both", "inclusion"}  # a shared row that one view lacks
+    assert failed(views | {"shared": good.where("entity_id = 'a'")}) == {"shared_in_both"}
+    twice = good.unionByName(good.where("entity_id = 'c'"))
+    assert {"first_ids_unique", "second_ids_unique", "tmdb_id_unique", "mal_id_unique", "shared_count"} <= failed(audit.views(twice))
+    assert failed(views, canonical=good.where("entity_id != 'a'")) == {"ids_in_canonical", "canonical_count"}
+    empty = audit.views(good.limit(0))
+    assert failed(empty) == {"rows_equal_sample", "shared_count", "null_dates"}
     assert {r.view: r.rows for r in audit.view_counts(good).collect()} == {"all": 3, "first": 2, "second": 2, "shared": 1}
 
 
