@@ -111,7 +111,13 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_spans(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p3_targets, p3_sample, p4_found, p4_links, p5_found, p5_terms, p6_ids, p7_found, p7_leaks, p8_found)}
+def p8_shared(spark: SparkSession, folder: str) -> DataFrame:
+    """How many code points of each document stand in another one too, and their share of the text."""
+    documents = table(spark, folder, "documents")
+    return spans.shared_amounts(p8_found(spark, folder), documents, "doc_id", "text").withColumn("share", F.round("share", 6))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p3_targets, p3_sample, p4_found, p4_links, p5_found, p5_terms, p6_ids, p7_found, p7_leaks, p8_found, p8_shared)}
 
 _WIDE = "".join(chr(0xFF01 + i) for i in range(94)) + chr(0x3000) + chr(0xA0)
 _NARROW = "".join(chr(0x21 + i) for i in range(94)).replace("'", "''") + "  "

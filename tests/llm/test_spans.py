@@ -82,6 +82,37 @@ def test_index_reports_each_batch(spark):
         spans.FingerprintIndex(spark, 10, 30)
 
 
+def test_index_survives_the_call_and_a_failed_change(spark, monkeypatch):
+    docs = [d for d in texts(5, 40) if d[1]]
+    frame = lambda rows: spark.createDataFrame(rows, "doc bigint, text string")
+    index = spans.FingerprintIndex(spark, 30, 10, fan_in=2, buckets=4)
+    folder, known, want = index.folder, [], brute(docs, 30)
+    for begin in range(0, len(docs), 15):
+        batch = docs[begin : begin + 15]
+        for name in index.runs:  # as in another session, whose catalogue knows nothing of the runs
+            spark.sql(f"DROP TABLE {name}")
+        if begin:
+            index = spans.FingerprintIndex.open(spark, folder)
+            assert len(index.places) == begin // 15
+        got = {tuple(r) for r in index.new_spans(frame(batch), frame(known)).collect()}
+        known += batch
+        ids = {d for d, _ in batch}
+        assert got == {s for s in brute(known, 30) if s[0] in ids}
+    monkeypatch.setattr(spans, "materialise", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        index.add(frame([(900, docs[0][1])]))
+    assert spans.FingerprintIndex.open(spark, folder).places == index.places and want
+    index.drop()
+    with pytest.raises(FileNotFoundError):
+        spans.FingerprintIndex.open(spark, folder)
+
+
+def test_amounts(spark):
+    found_ = spark.createDataFrame([(1, 0, 30), (1, 40, 80)], "doc_id bigint, span_start int, span_end int")
+    df = spark.createDataFrame([(1, "x" * 100), (2, None), (3, ""), (3, "abc"), (None, "y")], "doc_id bigint, text string")
+    assert sorted(map(tuple, spans.shared_amounts(found_, df, "doc_id", "text").collect())) == [(1, 100, 70, 0.7), (2, 0, 0, 0.0), (3, 3, 0, 0.0)]
+
+
 def test_equal_windows_have_equal_hashes():
     rng = np.random.default_rng(0)
     text = "".join(chr(int(c)) for c in rng.integers(97, 105, 500))
