@@ -250,14 +250,16 @@ class FingerprintIndex:
         return reduce(DataFrame.unionByName, parts) if parts else None
 
     def add(self, docs: DataFrame) -> DataFrame:
-        """Add a batch ``doc, text``; the result has the hashes ``fp`` of the batch that two records or more now have.
+        """Add a batch ``doc, text``, whose texts are read once; the result is that of :meth:`add_anchors`."""
+        return self.add_anchors(anchors(docs, self.length, self.gram))
 
-        The texts are read once. The batch's run is merge-joined with every historical run, the result written to the shared
-        folder.
+    def add_anchors(self, rows: DataFrame) -> DataFrame:
+        """Add a batch by its anchors ``fp, doc, pos``; the result has the hashes ``fp`` of it that two records or more now have.
+
+        The batch's run is merge-joined with every historical run, the result written to the shared folder.
         """
-        self.kind = docs.schema["doc"].dataType.simpleString()
+        self.kind = rows.schema["doc"].dataType.simpleString()
         place = f"places_{uuid.uuid4().hex}"
-        rows = anchors(docs, self.length, self.gram)
         rows.write.parquet(f"{self.folder}/{place}")
         rows = self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{place}")
         name = self._write(rows.groupBy("fp").agg(F.min("doc").alias("least"), F.max("doc").alias("greatest")))
@@ -344,10 +346,10 @@ def shared_spans(df: DataFrame, doc_id: str, text: str, length: int = 300, gram:
             copies = keys.groupBy("t1", "t2", "n").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where(F.col("first") < F.col("last"))
             whole = scratch.keep(keys.join(copies, ["t1", "t2", "n"]).select("doc", "n", "first"), "copies")
             ones = docs.join(whole.where(F.col("doc") != F.col("first")).select("doc"), "doc", "left_anti")
-            met = []
+            rows, met = scratch.keep(anchors(ones, length, gram), "anchors"), []
             for b in range(batches):
                 index.compact()
-                met.append(index.add(ones.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == b)))
+                met.append(index.add_anchors(rows.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == b)))
             spans = verify(ones, index.anchors(), reduce(DataFrame.unionByName, met).distinct(), length, gram)
             partly = spans.join(whole.select("doc"), "doc", "left_anti").select(F.col("doc").alias(doc_id), F.col("start").alias("span_start"), F.col("end").alias("span_end"))
             copied = whole.select(F.col("doc").alias(doc_id), F.lit(0).alias("span_start"), F.col("n").alias("span_end"))
