@@ -24,19 +24,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spoolworks.llm.titles import parse
-from spoolworks.session import materialise, remove_path, work_path
+from spoolworks.llm.titles import parse_all
+from spoolworks.session import Scratch
 
 #: Pairs less similar than this are no candidates (a fifth of the letters of the nearest forms differ).
 LEAST_SIMILAR = 0.5
-#: Years at most so far apart are near; unknown years are near all.
-YEARS = 2
+#: Years at most so far apart are near; unknown years are near all. Forms of so many years are compared in one group.
+YEARS, SPAN = 2, 5
 #: Lengths of forms that are compared in one group, which bounds its size.
 LENGTHS = 4
+#: Forms of one side that are compared in one task at most, about; groups of more are split.
+MOST_FORMS = 30_000
 #: Classes of letters that are counted before two forms are compared, and pairs counted at once.
 LETTERS, AT_ONCE = 32, 1 << 17
 #: Residuals under which values count as solved, and decimals they are then good for, so that ties stay ties.
@@ -55,7 +58,7 @@ def parsed_titles(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for titles in batch:
-            known = [x for x in (parse(t) for t in sorted(t for t in titles if t is not None)) if x]
+            known = parse_all(titles)
             flats, bags = sorted({x.flat for x in known}), sorted({x.bag for x in known})
             numbers = Counter(x.number for x in known if x.number is not None)
             number = min(numbers, key=lambda n: (-numbers[n], n)) if numbers else 1
@@ -63,8 +66,8 @@ def parsed_titles(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["flats", "bags", "number", "movie"])
 
 
-def records(df: DataFrame, identity: str = "source_id") -> DataFrame:
-    """One row for each class of records that nothing tells apart: ``id`` (the least one), titles' forms, year, kind.
+def forms_of(df: DataFrame, identity: str = "source_id") -> DataFrame:
+    """One row for each id: titles' forms, number, year, kind.
 
     Rows that repeat an id are one record with the titles of all of them; its year and kind are the greatest of theirs. Rows
     without an id, and records without a title that names anything, match nothing.
@@ -72,9 +75,25 @@ def records(df: DataFrame, identity: str = "source_id") -> DataFrame:
     titles = F.concat(F.array("title", "original_title"), F.coalesce("alternative_titles", F.array().cast("array<string>")))
     rows = df.where(F.col(identity).isNotNull()).select(F.col(identity).alias("id"), F.explode(titles).alias("one"), F.col("release_year").cast("int").alias("year"), F.col("media_type").alias("kind"))
     merged = rows.groupBy("id").agg(F.collect_set("one").alias("titles"), F.max("year").alias("year"), F.max("kind").alias("kind"))
-    forms = merged.withColumn("of", parsed_titles("titles")).select("id", "year", "kind", "of.*").where(F.size("flats") > 0)
-    alike = ["flats", "bags", "number", "movie", "year", "kind"]
-    return forms.groupBy(F.xxhash64(*alike).alias("class")).agg(F.min_by(F.struct("id", *alike), "id").alias("of")).select("of.*")
+    return merged.withColumn("of", parsed_titles("titles")).select("id", "year", "kind", "of.*").where(F.size("flats") > 0)
+
+
+ALIKE = ("flats", "bags", "number", "movie", "year", "kind")
+
+
+def records(forms: DataFrame) -> DataFrame:
+    """One row for each class of records that nothing tells apart, under their least ``id``."""
+    return forms.groupBy(*ALIKE).agg(F.min("id").alias("id")).select("id", *ALIKE)
+
+
+def members(forms: DataFrame, classes: DataFrame) -> DataFrame:
+    """``id, class_id``: the class of every record, whose least id stands for it."""
+    mark = F.xxhash64(*ALIKE)  # narrows the join; the columns decide
+    a, b = forms.withColumn("mark", mark).alias("a"), classes.withColumn("mark", mark).alias("b")
+    same = F.col("a.mark") == F.col("b.mark")
+    for c in ALIKE:
+        same &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return a.join(b, same).select(F.col("a.id"), F.col("b.id").alias("class_id"))
 
 
 @dataclass(frozen=True)
@@ -146,11 +165,9 @@ def similar_forms(left: list[str], right: list[str]) -> Iterator[tuple[np.ndarra
     sizes = {len(form) for form in right}
 
     def counts(forms: list[str]) -> np.ndarray:
-        out = np.zeros((len(forms), LETTERS), dtype=np.int16)
-        for i, form in enumerate(forms):
-            for c in form:
-                out[i, ord(c) % LETTERS] += 1
-        return out
+        letters = np.frombuffer("".join(forms).encode("utf-32-le", "surrogatepass"), np.uint32) % LETTERS
+        owner = np.repeat(np.arange(len(forms)), [len(f) for f in forms])
+        return np.bincount(owner * LETTERS + letters, minlength=len(forms) * LETTERS).reshape(-1, LETTERS).astype(np.int32)
 
     l_counts, r_counts = counts(left), counts(right)
     plans: dict[int, list[tuple[int, int, int, int, int]]] = {}
@@ -191,15 +208,28 @@ def similar_forms(left: list[str], right: list[str]) -> Iterator[tuple[np.ndarra
         yield alike(a, b)
 
 
-def _met(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """The pairs of forms of one group: ``l, r, a, b``."""
+_PAIRS = pa.schema([("l", pa.int64()), ("r", pa.int64()), ("a", pa.string()), ("b", pa.string())])
+
+
+def _met(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The pairs of forms of one group, of near or unknown years: ``l, r, a, b``."""
     found = []
+    sides = [(t["form"].to_pylist(), t["id"].to_numpy(), t["year"].to_numpy()) for t in (left, right)]
     for kind in ("f", "b"):
-        x, y = left[left["form"].str[0] == kind], right[right["form"].str[0] == kind]
-        if len(x) and len(y):
-            for i, j in similar_forms([f[1:] for f in x["form"]], [f[1:] for f in y["form"]]):
-                found.append(pd.DataFrame({"l": x["id"].to_numpy()[i], "r": y["id"].to_numpy()[j], "a": x["form"].to_numpy()[i], "b": y["form"].to_numpy()[j]}))
-    return pd.concat(found) if found else pd.DataFrame({"l": [], "r": [], "a": [], "b": []}).astype({"l": "int64", "r": "int64", "a": "object", "b": "object"})
+        (x, x_id, x_year), (y, y_id, y_year) = (([f for f in forms if f[0] == kind], *(c[[f[0] == kind for f in forms]] for c in rest)) for forms, *rest in sides)
+        if x and y:
+            swapped = len(x) > len(y)  # looking a form up costs more than keeping its pieces
+            for i, j in similar_forms([f[1:] for f in (y if swapped else x)], [f[1:] for f in (x if swapped else y)]):
+                i, j = (j, i) if swapped else (i, j)
+                near = (np.abs(x_year[i] - y_year[j]) <= YEARS) | (x_year[i] == UNKNOWN) | (y_year[j] == UNKNOWN)
+                i, j = i[near], j[near]
+                found.append(pa.table([x_id[i], y_id[j], [x[k] for k in i], [y[k] for k in j]], schema=_PAIRS))
+    return pa.concat_tables(found) if found else _PAIRS.empty_table()
+
+
+#: Stands for an unknown year; groups of records of unknown year, and of any year.
+UNKNOWN = -1_000_000
+WITHOUT, ANY = -1_000_000, -1_000_001
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, numbered: bool = True, dated: bool = True) -> DataFrame:
@@ -207,25 +237,31 @@ def candidate_pairs(left: DataFrame, right: DataFrame, numbered: bool = True, da
 
     If ``numbered``, only those of equal number; if ``dated``, only those of near or unknown years. None of these is left out.
     """
-    unknown, any_year = F.lit(-1), F.lit(-2)
-    year = F.col("year")
+    year, size = F.col("year"), F.col("size")
+    group = lambda y: F.floor(y / SPAN).cast("int")
 
     def rows(side: DataFrame, at: Column, sizes: Column) -> DataFrame:
         forms = F.concat(F.transform("flats", lambda f: F.concat(F.lit("f"), f)), F.transform("bags", lambda f: F.concat(F.lit("b"), f)))
         number = F.col("number") if numbered else F.lit(0)
         out = side.select("id", number.alias("number"), "year", F.explode(forms).alias("form"))
         out = out.withColumn("at", F.explode(at if dated else F.array(F.lit(0))))
-        return out.withColumn("size", F.length("form") - 1).withColumn("sizes", F.explode(sizes)).select("id", "number", "at", "sizes", "form")
+        out = out.withColumn("size", F.length("form") - 1).withColumn("sizes", F.explode(sizes))
+        return out.select("id", "number", "at", "sizes", "form", F.coalesce(year, F.lit(UNKNOWN)).alias("year") if dated else F.lit(UNKNOWN).alias("year"))
 
-    size = F.col("size")
     least = F.greatest(size - F.floor((size - 1) / 5), F.lit(1))
     most = F.floor((size * 5 - 1) / 4)
     of = F.sequence(F.floor(least / LENGTHS), F.floor(most / LENGTHS))
-    a = rows(left, F.when(year.isNotNull(), F.array(year, unknown)).otherwise(F.array(any_year, unknown)), of)
-    span = F.concat(F.sequence(year - YEARS, year + YEARS), F.array(any_year))
-    b = rows(right, F.when(year.isNotNull(), span).otherwise(F.array(unknown)), F.array(F.floor(size / LENGTHS)))
+    a = rows(left, F.when(year.isNotNull(), F.array(group(year), F.lit(WITHOUT))).otherwise(F.array(F.lit(ANY), F.lit(WITHOUT))), of)
+    near = F.concat(F.sequence(group(year - YEARS), group(year + YEARS)), F.array(F.lit(ANY)))
+    b = rows(right, F.when(year.isNotNull(), near).otherwise(F.array(F.lit(WITHOUT))), F.array(F.floor(size / LENGTHS)))
     keys = ["number", "at", "sizes"]
-    pairs = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(_met, "l bigint, r bigint, a string, b string")
+    # groups are split on both sides into parts of about MOST_FORMS, each of which meets every part of the other side
+    numbers = {n: side.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / MOST_FORMS).alias(n)) for n, side in (("a_parts", a), ("b_parts", b))}
+    parts = numbers["a_parts"].join(numbers["b_parts"], keys)
+    split = lambda side, own, other: side.join(parts, keys).withColumn(own, F.pmod(F.xxhash64("id", "form"), F.col(f"{own}_parts"))).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}_parts") - 1)))
+    a, b, keys = split(a, "a", "b"), split(b, "b", "a"), [*keys, "a", "b"]
+    columns = [*keys, "id", "form", "year"]
+    pairs = a.select(*columns).groupBy(*keys).cogroup(b.select(*columns).groupBy(*keys)).applyInArrow(_met, "l bigint, r bigint, a string, b string")
     apart = F.levenshtein("a", "b")  # the mark of the kind, the same in both, is no letter
     return pairs.where(apart * 5 < F.greatest(F.length("a"), F.length("b")) - 1).select("l", "r").distinct()
 
@@ -297,34 +333,31 @@ def infer(truth: DataFrame, weights: Weights = Weights(), rounds: int | None = N
     settles or, if given, for ``rounds`` rounds at most.
     """
     grounded, rules = ground(truth, weights)
-    wanted = materialise(grounded.withColumn("own", own_value(rules)), "wanted")
-    hopeful = wanted.where(F.col("own") > 0)
-    rivals = {side: hopeful.groupBy(side).agg(F.count(F.lit(1)).alias(f"n_{side}")) for side in ("l", "r")}
-    counted = materialise(hopeful.join(rivals["l"], "l").join(rivals["r"], "r"), "rivals")
-    contested = (F.col("n_l") > 1) | (F.col("n_r") > 1)
-    columns = ["l", "r", "similar"]
-    solved = _admm(counted.where(contested).drop("own", "n_l", "n_r"), rules, rounds, step)
-    alone = counted.where(~contested).select(*columns, F.col("own").alias("value"))
-    return solved.unionByName(alone).unionByName(wanted.where(F.col("own") <= 0).select(*columns, F.lit(0.0).alias("value")))
+    with Scratch(truth.sparkSession) as scratch:
+        wanted = scratch.keep(grounded.withColumn("own", own_value(rules)), "wanted")
+        hopeful = wanted.where(F.col("own") > 0)
+        rivals = {side: hopeful.groupBy(side).agg(F.count(F.lit(1)).alias(f"n_{side}")) for side in ("l", "r")}
+        counted = scratch.keep(hopeful.join(rivals["l"], "l").join(rivals["r"], "r"), "rivals")
+        contested = (F.col("n_l") > 1) | (F.col("n_r") > 1)
+        columns = ["l", "r", "similar"]
+        solved = _admm(counted.where(contested).drop("own", "n_l", "n_r"), rules, rounds, step)
+        alone = counted.where(~contested).select(*columns, F.col("own").alias("value"))
+        return scratch.hand_over(solved.unionByName(alone).unionByName(wanted.where(F.col("own") <= 0).select(*columns, F.lit(0.0).alias("value"))), "values")
 
 
 def _groups(pairs: DataFrame) -> DataFrame:
     """``pairs`` with ``group``, the least l that is reached through shared records: groups have no record in common."""
-    spark = pairs.sparkSession
-    now, before = pairs.withColumn("group", F.col("l")), None
-    while True:
-        by_l = now.groupBy("l").agg(F.min("group").alias("of_l"))
-        by_r = now.groupBy("r").agg(F.min("group").alias("of_r"))
-        least = F.least("of_l", "of_r")
-        moved = now.join(by_l, "l").join(by_r, "r").withColumn("moved", least < F.col("group")).withColumn("group", least).drop("of_l", "of_r")
-        path = work_path(spark, "groups")
-        moved.write.parquet(path)
-        if before:
-            remove_path(spark, before)
-        now, before = spark.read.schema(moved.schema).parquet(path), path
-        if now.where("moved").isEmpty():
-            return now.drop("moved")
-        now = now.drop("moved")
+    with Scratch(pairs.sparkSession) as scratch:
+        now = pairs.withColumn("group", F.col("l"))
+        while True:
+            by_l = now.groupBy("l").agg(F.min("group").alias("of_l"))
+            by_r = now.groupBy("r").agg(F.min("group").alias("of_r"))
+            least = F.least("of_l", "of_r")
+            now = scratch.keep(now.join(by_l, "l").join(by_r, "r").withColumn("moved", least < F.col("group")).withColumn("group", least).drop("of_l", "of_r"), "groups")
+            scratch.clear(but=1)
+            if now.where("moved").isEmpty():
+                return scratch.hand_over(now.drop("moved"), "groups")
+            now = now.drop("moved")
 
 
 def solve(points: np.ndarray, weights: np.ndarray, left: np.ndarray, right: np.ndarray, start: np.ndarray, rounds: int | None = None, step: float = 1.0) -> np.ndarray:
@@ -380,8 +413,18 @@ def link(left: DataFrame, right: DataFrame, identity: str = "source_id", weights
     """``l, r, value``: records of two tables that describe the same thing, with the confidence of each match.
 
     The tables have ``identity`` (a number), title, original_title, alternative_titles, release_year and media_type; any of
-    them may be null, and other columns are not read. An empty table has no matches.
+    them may be null, and other columns are not read. An empty table has no matches. Records that nothing tells apart are
+    one, of which the least id is linked; :func:`classes` has the ids of each.
     """
-    a, b = materialise(records(left, identity), "left"), materialise(records(right, identity), "right")
-    truth = materialise(evidence(candidate_pairs(a, b, weights.needs_number(), weights.needs_year()), a, b).where(F.col("similar") > LEAST_SIMILAR), "truth")
-    return choose(infer(truth, weights), least)
+    with Scratch(left.sparkSession) as scratch:
+        a, b = (scratch.keep(records(forms_of(side, identity)), "records") for side in (left, right))
+        pairs = candidate_pairs(a, b, weights.needs_number(), weights.needs_year())
+        truth = scratch.keep(evidence(pairs, a, b).where(F.col("similar") > LEAST_SIMILAR), "truth")
+        return scratch.hand_over(choose(infer(truth, weights), least), "links")
+
+
+def classes(df: DataFrame, identity: str = "source_id") -> DataFrame:
+    """``id, class_id``: which records of a table nothing tells apart, as :func:`link` sees them; the least id is linked."""
+    with Scratch(df.sparkSession) as scratch:
+        forms = scratch.keep(forms_of(df, identity), "forms")
+        return scratch.hand_over(members(forms, records(forms)), "classes")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +66,12 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_links(spark, folder).select("tmdb_id", "mal_id")
 
 
+def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """source, id, class_id of every record that can be linked: records of one class are told apart by nothing."""
+    sides = {name: link.classes(table(spark, folder, f"{name}_normalized")) for name in ("tmdb", "mal")}
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("source"), "id", "class_id") for name, df in sides.items()])
+
+
 TERM_FIELDS = ("genres", "original_language", "origin_country")
 
 
@@ -117,7 +125,7 @@ def p8_shared(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_amounts(p8_found(spark, folder), documents, "doc_id", "text").withColumn("share", F.round("share", 6))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p3_targets, p3_sample, p4_found, p4_links, p5_found, p5_terms, p6_ids, p7_found, p7_leaks, p8_found, p8_shared)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p3_targets, p3_sample, p4_found, p4_links, p4_classes, p5_found, p5_terms, p6_ids, p7_found, p7_leaks, p8_found, p8_shared)}
 
 _WIDE = "".join(chr(0xFF01 + i) for i in range(94)) + chr(0x3000) + chr(0xA0)
 _NARROW = "".join(chr(0x21 + i) for i in range(94)).replace("'", "''") + "  "

@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 # Hepburn romanisation of kana, without voicing marks being composed by rule.
@@ -84,11 +85,13 @@ def _spell(word: str) -> str:
 
 @dataclass(frozen=True)
 class Title:
-    """A title: its words in order, the number of the instalment, and whether it calls itself a film."""
+    """A title: its words in order, the number of the instalment, whether it calls itself a film, and whether it has the form
+    of an abbreviation such as ``Kasub V``."""
 
     words: tuple[str, ...]
     number: int | None
     movie: bool
+    short: bool = False
 
     @property
     def flat(self) -> str:
@@ -100,14 +103,19 @@ class Title:
         """The words in alphabetical order, joined."""
         return " ".join(sorted(self.words))
 
+    def abbreviates(self, other: Title) -> bool:
+        """Whether this is a short form of another title, whose word its first word begins."""
+        return self.short and not other.short and any(w.startswith(self.words[0]) and w != self.words[0] for w in other.words)
+
 
 def parse(text: str | None) -> Title | None:
-    """The parts of a title; null for blank titles and for abbreviations such as ``Kasub V``, which name nothing."""
+    """The parts of a title; null for blank titles and those without a word of meaning."""
     if not text:
         return None
     plain = _KIND.sub("", unicodedata.normalize("NFKC", text).replace("・", "").strip(" 『』「」。"))
-    if not plain or _ABBREVIATION.match(plain) and not plain[-1].isdigit():
+    if not plain:
         return None
+    short = bool(_ABBREVIATION.match(plain)) and not plain[-1].isdigit()
     plain, number = unicodedata.normalize("NFC", plain), None
     native = _NATIVE_NUMBER.search(plain)
     if native:
@@ -134,4 +142,10 @@ def parse(text: str | None) -> Title | None:
                 plain = " ".join([*before, *plain[match.end() :].split()])
                 break
     words = tuple(w for w in plain.split() if w not in STOP_WORDS)
-    return Title(words, number, movie) if words else None
+    return Title(words, number, movie, short) if words else None
+
+
+def parse_all(texts: Iterable[str | None]) -> list[Title]:
+    """The parts of all titles of a record; short forms of another one of its titles say nothing more and are left out."""
+    known = [x for x in (parse(t) for t in sorted({t for t in texts if t is not None})) if x]
+    return [x for x in known if not (x.short and any(x.abbreviates(y) for y in known))]

@@ -24,11 +24,18 @@ def test_forms_of_one_title(a, b):
     assert (x.flat == y.flat or x.bag == y.bag) and x.number == y.number and x.movie == y.movie
 
 
-@pytest.mark.parametrize("text", [None, "", "  ", "...", "Kasub V", "the"])
+@pytest.mark.parametrize("text", [None, "", "  ", "...", "the"])
 def test_titles_that_name_nothing(text):
     assert titles.parse(text) is None
 
 
+def test_short_forms_count_where_nothing_longer_is_known():
+    flats = lambda *texts: {(x.flat, x.number) for x in titles.parse_all(texts)}
+    assert flats("Hunter X") == {("hunter", 10)} and flats("Agent Z", None) == {("agentz", None)} and flats("Mr X") == {("mr", 10)}
+    assert flats("Kasub V", "Kasubari Vema") == {("kasubarivema", None)}  # short for the other title
+    assert flats("Hunter X", "Another Name") == {("hunter", 10), ("anothername", None)} and flats("Hunter X", "Hunter X") == {("hunter", 10)}
+
+
 def linked(spark, left, right):
     a, b = (spark.createDataFrame([(*row, "clash") for row in rows], STAGED) for rows in (left, right))
     return {(r.l, r.r): r.value for r in link.link(a, b).collect()}
@@ -54,6 +61,40 @@ def test_each_record_is_linked_once_and_ties_go_to_the_least(spark):
     assert set(linked(spark, left, right)) == {(1, 7)}
 
 
+def test_classes_keep_every_record(spark):
+    rows = [(i, "The Oath of Gemashibi", None, [], 2000, "tv", "clash") for i in (4, 1, 3)] + [(2, "The Oath of Gemashibi", None, [], None, "tv", ""), (9, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, STAGED)
+    assert {(r.id, r.class_id) for r in link.classes(df).collect()} == {(1, 1), (3, 1), (4, 1), (2, 2)}
+
+
+def test_short_titles_are_linked(spark):
+    assert set(linked(spark, [(1, "Hunter X", None, None, 2000, "tv")], [(2, "Hunter X", "Hunter X", [], 2000, "anime_tv")])) == {(1, 2)}
+
+
+@pytest.mark.parametrize("most", [30_000, 7])
+def test_candidates_are_all_pairs_of_near_years(spark, monkeypatch, most):
+    monkeypatch.setattr(link, "MOST_FORMS", most)
+    rng = random.Random(11)
+    make = lambda first: [(first + i, ["".join(rng.choices("ab", k=rng.randint(1, 9)))], [], 1, False, rng.choice([None, *range(1990, 2012)]), None) for i in range(120)]
+    schema = "id bigint, flats array<string>, bags array<string>, number int, movie boolean, year int, kind string"
+    left, right = make(0), make(1000)
+    got = {tuple(r) for r in link.candidate_pairs(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)).collect()}
+
+    def apart(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    want = {
+        (x[0], y[0]) for x in left for y in right
+        if 5 * apart(x[1][0], y[1][0]) < max(len(x[1][0]), len(y[1][0])) and (x[5] is None or y[5] is None or abs(x[5] - y[5]) <= 2)
+    }
+    assert got == want
+
+
 def test_exclusivity_prefers_the_better_pair(spark):
     truth = spark.createDataFrame([(1, 11, 1.0, 1.0, 1.0, 1.0), (1, 12, 0.8, 1.0, 0.5, 0.5), (2, 12, 1.0, 1.0, 0.9, 1.0)], "l bigint, r bigint, similar double, number double, near double, kind double")
     values = {(r.l, r.r): r.value for r in link.infer(truth, rounds=40).collect()}
