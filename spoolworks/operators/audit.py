@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,6 +117,36 @@ def duplicates(df: DataFrame, keys: dict[str, Sequence[str]]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
+def field_quality(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """``field, total, present, missing, missing_percent`` of the fields that the table has; empty lists are missing."""
+    known = [f for f in fields if f in df.columns]
+    present = [F.count(F.when(F.size(f) > 0, 1) if isinstance(df.schema[f].dataType, T.ArrayType) else F.col(f)).alias(f) for f in known]
+    one = df.agg(F.count(F.lit(1)).alias("_n"), *present)
+    n = F.col("_n")
+    rows = [F.struct(F.lit(f).alias("field"), n.alias("total"), F.col(f).alias("present"), (n - F.col(f)).alias("missing"), F.round((n - F.col(f)) * 100 / n, 4).alias("missing_percent")) for f in known]
+    return one.select(F.inline(F.array(*rows)))
+
+
+def sections(df: DataFrame, values: dict[str, Column], many: dict[str, str], top: int) -> DataFrame:
+    """``section, item, n, percent, place``: the ``top`` commonest items of each section, ties in order of the item.
+
+    ``values`` are columns, ``many`` list columns whose elements are counted. All sections are counted in one pass; null is no
+    item, and an item's share is that of all items of its section.
+    """
+    item = lambda name, v: F.struct(F.lit(name).alias("section"), v.cast("string").alias("item"))
+    single = F.array(*[item(n, v) for n, v in values.items()])
+    listed = [F.coalesce(F.transform(c, _item_of(n)), F.array().cast("array<struct<section:string,item:string>>")) for n, c in many.items()]
+    counts = df.select(F.inline(F.concat(single, *listed))).where(F.col("item").isNotNull()).groupBy("section", "item").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy("section").agg(F.sum("n").alias("all"))
+    place = Window.partitionBy("section").orderBy(F.desc("n"), "item")
+    best = counts.withColumn("place", F.row_number().over(place)).where(F.col("place") <= top)
+    return best.join(F.broadcast(totals), "section").select("section", "item", "n", (F.col("n") * 100 / F.col("all")).alias("percent"), "place")  # one row a section
+
+
+def _item_of(name: str):
+    return lambda x: F.struct(F.lit(name).alias("section"), x.cast("string").alias("item"))
+
+
 def data_dictionary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``column_name, kind, missing, missing_percent, unique_values``; of lists the distinct lengths are counted."""
     names = list(columns or df.columns)

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spoolworks.functions.text import strip
 from spoolworks.operators import registry
@@ -226,6 +227,37 @@ def from_frame(df: DataFrame) -> list[Question]:
     ]
 
 
+def save(df: DataFrame, parquet: str | None = None, json_lines: str | None = None) -> None:
+    """Write a catalogue of :func:`to_frame` as Parquet, as JSON, or both, in its order."""
+    ordered = df.orderBy("pos")
+    if parquet:
+        ordered.write.mode("overwrite").parquet(parquet)
+    if json_lines:
+        ordered.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(json_lines)  # a catalogue is small
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """A catalogue written by :func:`save`, whichever way."""
+    kind = T._parse_datatype_string(CATALOGUE)
+    return spark.read.schema(kind).json(path) if path.endswith(".json") else spark.read.schema(kind).parquet(path)
+
+
+def by_id(questions: Sequence[Question], question_id: str) -> Question | None:
+    """The question of that id, if there is one."""
+    return next((q for q in questions if q.question_id == question_id), None)
+
+
+def by_family(questions: Sequence[Question], family: str) -> list[Question]:
+    """The questions of a family, in catalogue order."""
+    return [q for q in questions if q.family == family]
+
+
+def added(questions: Sequence[Question], *more: Question) -> list[Question]:
+    """The catalogue with more questions at its end; one whose id is known takes the place of the former."""
+    of = {q.question_id: q for q in questions}
+    return list((of | {q.question_id: q for q in more}).values())
+
+
 def answers(entities: DataFrame, questions: Sequence[Question]) -> tuple[DataFrame, list[Column]]:
     """The entities with the folded features, and one answer column for each question."""
     ready = fold_columns(entities, [q.feature for q in questions])

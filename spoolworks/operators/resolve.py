@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,20 +107,24 @@ def assign(edges: DataFrame, score: tuple[str, ...], consuming: int = 2) -> Data
     ``edges`` are ``l, r, rank`` and the score columns (greatest first, then the least r). Each left record takes its best
     edge whose right record no earlier left record holds; only edges of rank ``consuming`` or more hold. Every round, all
     left records pick among the right records not held by an earlier one, and the holds are computed anew, until nothing
-    changes; each settles at least the next left record, so the end is always reached. n records of equal choice take n rounds.
-    The rows are the picks, those of lower rank included.
+    changes; each settles at least the next left record, so the end is always reached, and from whatever holds it begins: it
+    is the only state that reproduces itself. The first holds are guessed: the n-th of the left records with the same best
+    edge takes its n-th edge, which is right for records that share all their edges. The rows are the picks, those of lower
+    rank included.
     """
     best = F.struct(*score, -F.col("r"))
     with Scratch(edges.sparkSession) as kept, Scratch(edges.sparkSession) as rounds:
-        edges, held = kept.keep(edges, "edges"), None
+        edges = kept.keep(edges, "edges")
+        placed = edges.withColumn("place", F.row_number().over(Window.partitionBy("l").orderBy(best.desc())))
+        turn = placed.where("place = 1").select("l", F.row_number().over(Window.partitionBy("r").orderBy("l")).alias("place"))
+        guessed = placed.join(turn, ["l", "place"]).where(F.col("rank") >= consuming)
+        held = rounds.keep(guessed.groupBy("r").agg(F.min("l").alias("l")).select("l", "r"), "held")
         while True:
-            free = edges
-            if held is not None:
-                holders = held.select(F.col("l").alias("holder"), "r")
-                free = edges.join(holders, "r", "left").where(F.col("holder").isNull() | (F.col("holder") >= F.col("l"))).drop("holder")
+            holders = held.select(F.col("l").alias("holder"), "r")
+            free = edges.join(holders, "r", "left").where(F.col("holder").isNull() | (F.col("holder") >= F.col("l"))).drop("holder")
             picks = rounds.keep(free.groupBy("l").agg(F.max_by(F.struct("r", "rank", *[c for c in score if c != "rank"]), best).alias("of")).select("l", "of.*"), "picks")
             now = rounds.keep(picks.where(F.col("rank") >= consuming).groupBy("r").agg(F.min("l").alias("l")).select("l", "r"), "held")
-            if held is not None and now.exceptAll(held).isEmpty() and held.exceptAll(now).isEmpty():
+            if now.exceptAll(held).isEmpty() and held.exceptAll(now).isEmpty():
                 settled = picks.join(now.withColumnRenamed("l", "owner"), "r", "left").where((F.col("rank") < consuming) | (F.col("owner") == F.col("l")))
                 return rounds.hand_over(settled.drop("owner"), "links")
             held = now

@@ -1,7 +1,7 @@
 """Distribution statistics: entropies, information gain, sample comparisons, weighted quantiles.
 
-Running sums over all rows are computed in value ranges of about equal size, each with the sum of the ranges before it, so
-that no window spans the table.
+Running sums over all rows are computed in ranges of about equal size, each with the sum of the ranges before it, so that no
+window spans the table. Ranges are of values and ties, so a value that a third of all rows have is spread over many of them.
 """
 
 from __future__ import annotations
@@ -11,8 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A value range has about so many rows; there are MOST_RANGES at most.
-RANGE_ROWS, MOST_RANGES = 500_000, 128
+from spoolworks.session import Scratch
+
+#: A range has about so many rows.
+RANGE_ROWS = 500_000
 
 
 def entropy(n: Column) -> Column:
@@ -27,29 +29,20 @@ def feature_entropy(df: DataFrame, feature: str, value: Column | None = None) ->
     return counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("unique_values"), (F.max("c") / F.sum("c")).alias("top_share"), entropy(F.col("c")).alias("entropy")).select(F.lit(feature).alias("feature"), "*")
 
 
-def ranges_of(df: DataFrame, value: str) -> Column:
-    """The number of the value range of a row; ranges have about RANGE_ROWS rows each."""
-    n = min(MOST_RANGES, -(-df.count() // RANGE_ROWS))
-    if n < 2:
-        return F.lit(0)
-    bounds = df.agg(F.percentile_approx(value, [i / n for i in range(1, n)], 10_000).alias("of")).first()["of"] or []
-    number = F.lit(0)
-    for bound in sorted(set(bounds)):
-        number += (F.col(value) > bound).cast("int")
-    return number
-
-
 def running(df: DataFrame, value: str, sums: Sequence[str], ties: Sequence[str] = ()) -> DataFrame:
     """``df`` with ``upto_<column>`` for each of the sums, in the order of ``value`` and ``ties``, and ``next_value``."""
-    keyed = df.withColumn("_range", ranges_of(df, value))
-    totals = keyed.groupBy("_range").agg(*[F.sum(c).alias(f"_all_{c}") for c in sums], F.min(value).alias("_least"))
-    every = Window.orderBy("_range")  # one row for each range
-    before = totals.select("_range", *[(F.sum(f"_all_{c}").over(every) - F.col(f"_all_{c}")).alias(f"_before_{c}") for c in sums], F.lead("_least").over(every).alias("_next"))
-    order = Window.partitionBy("_range").orderBy(value, *ties)
-    inside = order.rowsBetween(Window.unboundedPreceding, 0)
-    joined = keyed.join(F.broadcast(before), "_range")
-    columns = {f"upto_{c}": F.col(f"_before_{c}") + F.sum(c).over(inside) for c in sums} | {"next_value": F.coalesce(F.lead(value).over(order), "_next")}
-    return joined.withColumns(columns).drop("_range", "_next", *[f"_before_{c}" for c in sums])
+    with Scratch(df.sparkSession) as scratch:
+        kept = scratch.keep(df, "rows")
+        n = max(1, -(-kept.count() // RANGE_ROWS))
+        keyed = scratch.keep(kept.repartitionByRange(n, value, *ties).withColumn("_range", F.spark_partition_id()), "ranges")
+        totals = keyed.groupBy("_range").agg(*[F.sum(c).alias(f"_all_{c}") for c in sums], F.min(value).alias("_least"))
+        every = Window.orderBy("_range")  # one row for each range
+        before = totals.select("_range", *[(F.sum(f"_all_{c}").over(every) - F.col(f"_all_{c}")).alias(f"_before_{c}") for c in sums], F.lead("_least").over(every).alias("_next"))
+        order = Window.partitionBy("_range").orderBy(value, *ties)
+        inside = order.rowsBetween(Window.unboundedPreceding, 0)
+        joined = keyed.join(F.broadcast(before), "_range")
+        columns = {f"upto_{c}": F.col(f"_before_{c}") + F.sum(c).over(inside) for c in sums} | {"next_value": F.coalesce(F.lead(value).over(order), "_next")}
+        return scratch.hand_over(joined.withColumns(columns).drop("_range", "_next", *[f"_before_{c}" for c in sums]), "running")
 
 
 def distances(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
@@ -75,18 +68,32 @@ def ks_p_value(d: float, n: int, m: int, terms: int = 100) -> float:
     return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * exp(-2 * k * k * x * x) for k in range(1, terms + 1))))
 
 
-def describe(df: DataFrame, value: str) -> DataFrame:
-    """``n, mean, sd`` and the quartiles and upper percentiles (interpolated) of a column."""
+def moments(df: DataFrame, value: str) -> DataFrame:
+    """``n, mean, sd`` of the numbers of a column."""
     good = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    at = [0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
-    one = good.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.percentile(value, F.array(*map(F.lit, at))).alias("p"))
-    return one.select("n", "mean", "sd", *[F.get("p", F.lit(i)).alias(f"p{int(q * 100)}") for i, q in enumerate(at)])
+    return good.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+
+
+def describe(df: DataFrame, value: str, at: Sequence[float] = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
+    """``n, mean, sd`` and the quartiles and upper percentiles (interpolated) of a column.
+
+    Percentiles are read off the running count of the distinct values, which no task holds as a whole.
+    """
+    good = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(F.col(value).cast("double").alias("v"))
+    counts = running(good.groupBy("v").agg(F.count(F.lit(1)).alias("c")), "v", ["c"])
+    total = moments(df, value)
+    place = {q: F.col("n").cast("double") * q - q for q in at}
+    reached = lambda rank: F.min(F.when(F.col("upto_c") > rank, F.col("v")))
+    ends = [e for q in at for e in (reached(F.floor(place[q])).alias(f"lo{int(q * 100)}"), reached(F.ceil(place[q])).alias(f"hi{int(q * 100)}"))]
+    bounds = counts.join(F.broadcast(total.select("n"))).agg(*ends)  # one row
+    between = lambda q: F.col(f"lo{int(q * 100)}") + (place[q] - F.floor(place[q])) * (F.col(f"hi{int(q * 100)}") - F.col(f"lo{int(q * 100)}"))
+    return total.crossJoin(bounds).select("n", "mean", "sd", *[between(q).alias(f"p{int(q * 100)}") for q in at])  # one row each
 
 
 def mean_difference(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     """``smd``: the difference of the means of b and a in pooled standard deviations; 0 if these are 0."""
-    x = describe(a, value).select(F.col("n").alias("n1"), F.col("mean").alias("m1"), F.col("sd").alias("s1"))
-    y = describe(b, value).select(F.col("n").alias("n2"), F.col("mean").alias("m2"), F.col("sd").alias("s2"))
+    x = moments(a, value).select(F.col("n").alias("n1"), F.col("mean").alias("m1"), F.col("sd").alias("s1"))
+    y = moments(b, value).select(F.col("n").alias("n2"), F.col("mean").alias("m2"), F.col("sd").alias("s2"))
     pooled = F.sqrt(((F.col("n1") - 1) * F.col("s1") ** 2 + (F.col("n2") - 1) * F.col("s2") ** 2) / (F.col("n1") + F.col("n2") - 2))
     return x.join(F.broadcast(y)).select(F.when(pooled > 0, (F.col("m2") - F.col("m1")) / pooled).otherwise(0.0).alias("smd"))  # one row each
 
@@ -115,6 +122,12 @@ def weighted_quantiles(df: DataFrame, value: str, weight: str, at: Sequence[floa
     return one.select(F.inline(F.array(*rows_)))
 
 
+def weighted_mean(df: DataFrame, value: str, weight: str) -> DataFrame:
+    """``sample, reweighted``: the plain and the weighted mean of a column; rows without a value or weight are left out."""
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & F.col(weight).isNotNull())
+    return rows.agg(F.avg(value).alias("sample"), F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(weight)).alias("reweighted"))
+
+
 def information_gain(df: DataFrame, target: Column, bin_: Column) -> DataFrame:
     """``root_entropy, conditional_entropy, gain`` of a binary target by bins; rows without a bin lose their weight."""
     rows = df.select(target.cast("int").alias("t"), bin_.alias("b"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spoolworks.operators import audit, normalize, questions, simulate, stats, strata
 from spoolworks.plans.guesser import U, universe
 from spoolworks.plans.pipeline import _AUDIT, _BIN, _DECADE, _SAMPLE, canonical_rows, quarter
+from spoolworks.session import materialise
 from spoolworks.sources.tables import table
 
 QUERIES: dict = {}
@@ -264,10 +265,17 @@ def target_weighted_cdf(spark: SparkSession, folder: str) -> DataFrame:
 GAMES = {"policies": ("entropy", "expected_reduction", "random"), "seeds": (42, 123, 999), "games": 1000}
 
 
+_PLAYED: dict[tuple[str, str], tuple[DataFrame, int]] = {}
+
+
 def _games(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
-    rows = universe(spark, folder)
-    found = questions.qualify(rows, questions.generate(rows))
-    return simulate.run_games(rows, found, **GAMES), rows.count()
+    """The results of the games and the number of candidates; played once for each folder and application."""
+    key = spark.sparkContext.applicationId, folder
+    if key not in _PLAYED:
+        rows = universe(spark, folder)
+        found = questions.qualify(rows, questions.generate(rows))
+        _PLAYED[key] = materialise(simulate.run_games(rows, found, **GAMES), "games"), rows.count()
+    return _PLAYED[key]
 
 
 @query()

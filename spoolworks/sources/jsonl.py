@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spoolworks.session import Scratch
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``file, line_no, line`` of all lines that are not blank; ``line_no`` orders the lines of one file."""
@@ -34,20 +36,37 @@ def profile(lines: DataFrame, key: str = "id") -> DataFrame:
     )
 
 
-def append_new(records: DataFrame, path: str, key: str = "id") -> int:
-    """Append the records whose key the folder does not have, one for each key; the number appended.
-
-    Rows without a key are not appended. Of several rows with a new key, any one is.
-    """
+def _unknown(records: DataFrame, path: str, key: str) -> DataFrame:
+    """The records whose key the folder does not have, one for each key; any one of several."""
     spark = records.sparkSession
     fresh = records.where(F.col(key).isNotNull()).dropDuplicates([key])
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
         there = spark.read.schema(T.StructType([records.schema[key]])).json(path)
         fresh = fresh.join(there.where(F.col(key).isNotNull()).distinct(), key, "left_anti")
-    fresh = fresh.select(*records.columns)
-    from spoolworks.session import materialise
+    return fresh.select(*records.columns)
 
-    kept = materialise(fresh, "append")
-    kept.write.mode("append").json(path)
-    return kept.count()
+
+def append_new(records: DataFrame, path: str, key: str = "id") -> int:
+    """Append the records whose key the folder does not have, one for each key; the number appended.
+
+    Rows without a key are not appended. Of several rows with a new key, any one is.
+    """
+    with Scratch(records.sparkSession) as scratch:
+        kept = scratch.keep(_unknown(records, path, key), "append")
+        kept.write.mode("append").json(path)
+        return kept.count()
+
+
+def append_with_progress(records: DataFrame, path: str, key: str, progress, tasks: list) -> int:
+    """As :func:`append_new`, noting for each of the tasks (``task_key, first``) how many records it gave and how many are new."""
+    spark = records.sparkSession
+    with Scratch(spark) as scratch:
+        every = scratch.keep(records, "crawled")
+        kept = scratch.keep(_unknown(every, path, key), "append")
+        kept.write.mode("append").json(path)
+        counts = lambda df, name: df.groupBy("task_key").agg(F.count(F.lit(1)).alias(name))
+        of = spark.createDataFrame([(t.task_key, t.first) for t in tasks], "task_key string, page int")
+        noted = of.join(counts(every, "total"), "task_key", "left").join(counts(kept, "new"), "task_key", "left").fillna(0, ["total", "new"])
+        progress.append(noted.withColumn("complete", F.lit(True)))
+        return kept.count()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from spoolworks.operators import audit, normalize, resolve, stats, strata
 from spoolworks.plans import pipeline
+from spoolworks.session import Scratch
 from spoolworks.sources import jsonl, rest
 from spoolworks.streaming import ingest
 
@@ -263,3 +264,23 @@ def test_assignment_of_a_hot_title_has_no_limit_of_rounds(spark):
     assert "most_rounds" not in inspect.signature(resolve.assign).parameters
     edges = spark.createDataFrame([(i, 10 + j, 3) for i in range(4) for j in range(4)], "l bigint, r bigint, rank int")
     assert {(r.l, r.r) for r in resolve.assign(edges, ("rank",)).collect()} == {(i, 10 + i) for i in range(4)}
+
+
+def test_assignment_of_a_hot_title_takes_few_rounds(spark, monkeypatch):
+    rounds, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, label: (rounds.append(label), keep(self, df, label))[1])
+    edges = spark.range(40).crossJoin(spark.range(60).withColumnRenamed("id", "r")).selectExpr("id AS l", "100 + r AS r", "3 AS rank")
+    assert {(r.l, r.r) for r in resolve.assign(edges, ("rank",)).collect()} == {(i, 100 + i) for i in range(40)}
+    assert rounds.count("picks") <= 2
+
+
+def test_running_sums_and_percentiles_of_a_hot_value(spark, monkeypatch):
+    monkeypatch.setattr(stats, "RANGE_ROWS", 40)
+    values = [0.0] * 400 + [float(i % 37) for i in range(200)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "k int, v double")
+    got = stats.running(df.withColumn("w", F.lit(1)), "v", ["w"], ["k"]).orderBy("v", "k").collect()
+    assert [r.upto_w for r in got] == list(range(1, 601)) and [r.next_value for r in got] == [*sorted(values)[1:], None]
+    want = df.agg(F.percentile("v", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.9, 0.95, 0.99))))).first()[0]
+    row = stats.describe(df, "v").first()
+    assert [row.p25, row.p50, row.p75, row.p90, row.p95, row.p99] == pytest.approx(want) and row.n == 600
+    assert stats.describe(df.limit(0), "v").first().p50 is None
