@@ -49,7 +49,7 @@ def entities_from_json(spark: SparkSession, folder: str) -> DataFrame:
     """Entities whose lists were stored as JSON texts, loaded again: lengths of the lists, and membership as in a list."""
     stored = canonical_rows(spark, folder).select("entity_id", *[F.to_json(c).alias(c) for c in ("genres", "origin_country")])
     loaded = lists.load_entities(stored)
-    return loaded.select("entity_id", F.size("genres").cast("bigint").alias("genres"), F.size("origin_country").cast("bigint").alias("countries"), F.array_contains("genres", "Drama").alias("drama"))
+    return loaded.select("entity_id", F.size("genres").cast("bigint").alias("genres"), F.size("origin_country").cast("bigint").alias("countries"), F.when(F.col("genres").isNotNull(), F.coalesce(F.array_contains("genres", "Drama"), F.lit(False))).alias("drama"))
 
 
 # --- raw records --------------------------------------------------------------------------------------------------------
@@ -127,12 +127,12 @@ def quality_fields(spark: SparkSession, folder: str) -> DataFrame:
     return audit.field_quality(canonical_rows(spark, folder), QUALITY_FIELDS)
 
 
-@query(f"""WITH {U} SELECT media_type, count(*) AS entities, round(sum(vote_count), 4) AS votes, round(avg(CASE WHEN isnan(rating) THEN NULL ELSE rating END), 6) AS mean_rating FROM u GROUP BY 1""")
+@query(f"""WITH {U} SELECT media_type, count(*) AS entities, CAST(sum(vote_count) AS DOUBLE) AS votes, round(avg(CASE WHEN isnan(rating) THEN NULL ELSE rating END), 6) AS mean_rating FROM u GROUP BY 1""")
 def group_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Count, sum and mean by media type."""
     rating = F.nanvl("rating", F.lit(None).cast("double"))
     return canonical_rows(spark, folder).groupBy("media_type").agg(
-        F.count(F.lit(1)).alias("entities"), F.round(F.sum("vote_count").cast("double"), 4).alias("votes"), F.round(F.avg(rating), 6).alias("mean_rating")
+        F.count(F.lit(1)).alias("entities"), F.sum("vote_count").cast("double").alias("votes"), F.round(F.avg(rating), 6).alias("mean_rating")
     )
 
 
