@@ -157,11 +157,24 @@ w AS (SELECT *, sample_permille * total // 1000 AS size FROM sample_targets, n),
 r AS (SELECT target_set, dimension, category, CAST(size AS BIGINT) AS size, CAST(greatest(min_rows, (share_permille * size + 999) // 1000) AS BIGINT) AS wanted, coalesce(supply, 0) AS supply
   FROM w LEFT JOIN c USING (dimension, category))"""
 
+# every window of every text, by its hash
+_SQL_SPANS = """
+d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 300),
+w AS (SELECT doc_id, s, md5(substr(text, CAST(s + 1 AS INT), 300)) AS k FROM (SELECT doc_id, text, unnest(range(n - 299)) AS s FROM d)),
+k AS (SELECT k FROM w GROUP BY k HAVING min(doc_id) < max(doc_id)),
+m AS (SELECT doc_id, s, s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS gap FROM (SELECT DISTINCT doc_id, s FROM w SEMI JOIN k USING (k))),
+g AS (SELECT *, sum(CASE WHEN gap <= 300 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM m),
+spans AS (SELECT doc_id, CAST(min(s) AS INT) AS span_start, CAST(max(s) + 300 AS INT) AS span_end FROM g GROUP BY doc_id, span)"""
+
 SQL = {
     "p3_found": f"""{_SQL_TARGETS}
 SELECT target_set, category FROM r WHERE supply < wanted""",
     "p3_targets": f"""{_SQL_TARGETS}
 SELECT target_set, dimension, category, size AS sample_size, wanted, supply FROM r""",
+    "p8_found": f"WITH {_SQL_SPANS} SELECT * FROM spans",
+    "p8_shared": f"""WITH {_SQL_SPANS}, a AS (SELECT doc_id, sum(span_end - span_start) AS shared FROM spans GROUP BY 1),
+t AS (SELECT doc_id, max(coalesce(length(text), 0)) AS n_chars FROM documents WHERE doc_id IS NOT NULL GROUP BY 1)
+SELECT doc_id, CAST(n_chars AS INT) AS n_chars, CAST(coalesce(shared, 0) AS BIGINT) AS shared, round(CASE WHEN n_chars > 0 THEN coalesce(shared, 0) / n_chars ELSE 0 END, 6) AS share FROM t LEFT JOIN a USING (doc_id)""",
     "p5_found": f"""
 WITH {_SQL_TERMS}
 SELECT field_name, term, 'rare' AS mark FROM f WHERE records <= 2
