@@ -115,11 +115,27 @@ def _sql_number(name: str) -> str:
 
 
 SQL_MASK = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(value, '\p{Ll}+', 'a', 'g'), '[\p{Lu}\p{Lt}\p{Lm}\p{Lo}]+', 'A', 'g'), '\p{Nd}+', '9', 'g'), '[\s\x{85}\p{Z}]+', ' ', 'g')"
-_NUMBERS = ("runtime", "num_episodes", "release_year")
-_LONG = " UNION ALL ".join(
-    f"SELECT feed_id, load_id, '{c}' AS column_name, {_sql_number(c) if c in _NUMBERS else c} AS value FROM development_entities" for c in PROFILED
-)
-SQL_MASKS = f"long AS ({_LONG}), masked AS (SELECT *, {SQL_MASK} AS mask FROM long)"
+# The columns of the loads by kind.
+_NUMBERS = ("release_year", "runtime", "num_episodes", "rating", "popularity")
+_LISTS = (
+    "alternative_titles", "genres", "origin_country", "studios", "production_companies", "production_countries", "discovered_from", "source_presence", "keywords", "themes", "demographics", "relations",
+)
+_OTHERS = (
+    "loaded_at", "task_key", "source", "source_id", "title", "original_title", "media_type", "source_media_type", "release_date", "end_date", "original_language", "overview", "vote_count", "rank", "favorites",
+    "num_list_users", "status", "source_material", "tmdb_id", "mal_id", "entity_id", "match_confidence",
+)
+
+
+def _sql_text(name: str) -> str:
+    if name in _NUMBERS:
+        return _sql_number(name)
+    return f"array_to_string({name}, ',')" if name in _LISTS else f"CAST({name} AS VARCHAR)"
+
+
+def _sql_masks(columns: tuple[str, ...]) -> str:
+    long = " UNION ALL ".join(f"SELECT feed_id, load_id, '{c}' AS column_name, {_sql_text(c)} AS value FROM development_entities" for c in columns)
+    return f"long AS ({long}), masked AS (SELECT *, {SQL_MASK} AS mask FROM long)"
+
 
 _P2_VALUES = " UNION ALL ".join(
     f"SELECT feed_id, load_id, '{c}' AS column_name, CASE WHEN isnan({c}) THEN NULL ELSE {c} END AS v, {r.low} AS low, {r.high} AS high FROM development_entities"
@@ -140,8 +156,14 @@ UNION ALL SELECT load_id, column_name, 'constant' FROM s WHERE top * 2 > p
 UNION ALL SELECT load_id, column_name, 'null_rate' FROM s WHERE abs(m * lr - lm * r) * 100 > r * lr * 15
 UNION ALL SELECT load_id, column_name, 'shift' FROM s WHERE abs(med - lmed) > CASE WHEN column_name = 'release_year' THEN 8 ELSE abs(lmed) / 4 END
 """,
-    "p2_profile": f"""
-WITH {SQL_MASKS},
+}
+
+
+def _sql_profiles(suffix: str, masks: str) -> dict[str, str]:
+    """The SQL of the profile, of the rare masks and of the divergence."""
+    return {
+        f"p2_profile{suffix}": f"""
+WITH {masks},
 g AS (SELECT feed_id, load_id, column_name, count(*) AS rows, count(value) AS present, count(DISTINCT value) AS distinct_values,
         count(DISTINCT CASE WHEN TRY_CAST(value AS DOUBLE) IS NOT NULL THEN value END) AS numbers,
         min(TRY_CAST(value AS DOUBLE)) AS low, max(TRY_CAST(value AS DOUBLE)) AS high, min(value) AS first_text, max(value) AS last_text FROM masked GROUP BY ALL),
@@ -152,13 +174,13 @@ SELECT feed_id, load_id, column_name, rows, round((rows - present) / rows, 6) AS
   CASE WHEN numbers = distinct_values AND numbers > 0 THEN {_sql_number('high')} ELSE last_text END AS greatest,
   coalesce(masks, 0) AS masks, dominant_mask, round(top / present, 6) AS dominant_share
 FROM g LEFT JOIN t USING (feed_id, load_id, column_name)""",
-    "p2_rare_masks": f"""
-WITH {SQL_MASKS},
+        f"p2_rare_masks{suffix}": f"""
+WITH {masks},
 a AS (SELECT column_name, mask, count(*) AS n FROM masked WHERE mask IS NOT NULL GROUP BY ALL),
 r AS (SELECT column_name, mask FROM (SELECT *, sum(n) OVER (PARTITION BY column_name) AS total, max(n) OVER (PARTITION BY column_name) AS most FROM a) WHERE n < total * 0.02 AND n < most)
 SELECT feed_id, load_id, column_name, mask, count(*) AS n FROM masked JOIN r USING (column_name, mask) GROUP BY ALL""",
-    "p2_divergence": f"""
-WITH {SQL_MASKS},
+        f"p2_divergence{suffix}": f"""
+WITH {masks},
 m AS (SELECT feed_id, load_id, column_name, coalesce(mask, '<missing>') AS mask, count(*) AS n FROM masked GROUP BY ALL),
 s AS (SELECT *, n / sum(n) OVER (PARTITION BY feed_id, load_id, column_name) AS share FROM m),
 o AS (SELECT feed_id, load_id, lag(load_id) OVER (PARTITION BY feed_id ORDER BY load_id) AS prev FROM (SELECT DISTINCT feed_id, load_id FROM m)),
@@ -167,4 +189,7 @@ u AS (SELECT s.feed_id, s.load_id, column_name, mask, share AS p, 0.0 AS q FROM
 b AS (SELECT feed_id, load_id, column_name, mask, sum(p) AS p, sum(q) AS q FROM u GROUP BY ALL)
 SELECT feed_id, load_id, column_name, round(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 6) AS divergence
 FROM b GROUP BY ALL""",
-}
+    }
+
+
+SQL |= _sql_profiles("", _sql_masks(PROFILED)) | _sql_profiles("_all", _sql_masks((*_NUMBERS, *_LISTS, *_OTHERS)))
