@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from spoolworks.llm.titles import parse_all
 from spoolworks.session import Scratch
@@ -45,25 +47,13 @@ LETTERS, AT_ONCE = 32, 1 << 17
 #: Residuals under which values count as solved, and decimals they are then good for, so that ties stay ties.
 SETTLED, DECIMALS = 1e-6, 4
 
-_TEXTS = T.ArrayType(T.StringType())
-PARSED = T.StructType(
-    [T.StructField(n, _TEXTS) for n in ("flats", "bags")]
-    + [T.StructField("number", T.IntegerType()), T.StructField("movie", T.BooleanType())]
-)
-
-
-@F.pandas_udf(PARSED)
-def parsed_titles(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """The comparable forms of all titles of a record and its number."""
-    for batch in batches:
-        rows = []
-        for titles in batch:
-            known = parse_all(titles)
-            flats, bags = sorted({x.flat for x in known}), sorted({x.bag for x in known})
-            numbers = Counter(x.number for x in known if x.number is not None)
-            number = min(numbers, key=lambda n: (-numbers[n], n)) if numbers else 1
-            rows.append((flats, bags, number, any(x.movie for x in known)))
-        yield pd.DataFrame(rows, columns=["flats", "bags", "number", "movie"])
+def _forms(titles: list[str | None]) -> tuple[list[str], list[str], int, bool]:
+    """The comparable forms of all titles of a record, its number, and whether it is a film."""
+    known = parse_all(titles)
+    flats, bags = sorted({x.flat for x in known}), sorted({x.bag for x in known})
+    numbers = Counter(x.number for x in known if x.number is not None)
+    number = min(numbers, key=lambda n: (-numbers[n], n)) if numbers else 1
+    return flats, bags, number, any(x.movie for x in known)
 
 
 def forms_of(df: DataFrame, identity: str = "source_id") -> DataFrame:
@@ -75,7 +65,20 @@ def forms_of(df: DataFrame, identity: str = "source_id") -> DataFrame:
     titles = F.concat(F.array("title", "original_title"), F.coalesce("alternative_titles", F.array().cast("array<string>")))
     rows = df.where(F.col(identity).isNotNull()).select(F.col(identity).alias("id"), F.explode(titles).alias("one"), F.col("release_year").cast("int").alias("year"), F.col("media_type").alias("kind"))
     merged = rows.groupBy("id").agg(F.collect_set("one").alias("titles"), F.max("year").alias("year"), F.max("kind").alias("kind"))
-    return merged.withColumn("of", parsed_titles("titles")).select("id", "year", "kind", "of.*").where(F.size("flats") > 0)
+    kept = merged.select("id", "year", "kind", "titles")
+    texts = T.ArrayType(T.StringType())
+    forms = {"flats": texts, "bags": texts, "number": T.IntegerType(), "movie": T.BooleanType()}
+    schema = T.StructType([*kept.schema.fields[:3], *[T.StructField(n, t) for n, t in forms.items()]])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parsed = list(zip(*map(_forms, batch.column(3).to_pylist())))
+            if parsed:
+                columns = [pa.array(list(c), f.type) for c, f in zip(parsed, list(arrow)[3:])]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], schema=arrow)
+
+    return kept.mapInArrow(run, schema).where(F.size("flats") > 0)
 
 
 ALIKE = ("flats", "bags", "number", "movie", "year", "kind")
@@ -124,6 +127,7 @@ def edits(length: int) -> int:
     return (length - 1) // 5
 
 
+@cache
 def pieces(length: int, count: int) -> list[tuple[int, int]]:
     """Start and length of ``count`` pieces of a form; the later ones are longer by one where it does not divide."""
     short, longer = divmod(length, count)
@@ -135,6 +139,7 @@ def pieces(length: int, count: int) -> list[tuple[int, int]]:
     return out
 
 
+@cache
 def longest(length: int) -> int:
     """Length of the longest form that can be similar to one of that length."""
     other = length
@@ -156,13 +161,13 @@ def similar_forms(left: list[str], right: list[str]) -> Iterator[tuple[np.ndarra
     pieces must lie (the multi-match-aware selection of Pass-Join). Pairs whose counts of letters are too far apart are
     dropped: an edit changes at most one letter each way.
     """
-    known: dict[tuple[int, int, int, str], list[int]] = defaultdict(list)
+    known: dict[tuple[int, int, int], dict[str, list[int]]] = defaultdict(dict)  # by length, t and place of the piece
     for j, form in enumerate(right):
         size = len(form)
         for t in range(edits(size), edits(longest(size)) + 1):
             for i, (start, long) in enumerate(pieces(size, t + 1)):
-                known[size, t, i, form[start : start + long]].append(j)
-    sizes = {len(form) for form in right}
+                known[size, t, i].setdefault(form[start : start + long], []).append(j)
+    sizes = {size for size, _, _ in known}
 
     def counts(forms: list[str]) -> np.ndarray:
         letters = np.frombuffer("".join(forms).encode("utf-32-le", "surrogatepass"), np.uint32) % LETTERS
@@ -170,16 +175,16 @@ def similar_forms(left: list[str], right: list[str]) -> Iterator[tuple[np.ndarra
         return np.bincount(owner * LETTERS + letters, minlength=len(forms) * LETTERS).reshape(-1, LETTERS).astype(np.int32)
 
     l_counts, r_counts = counts(left), counts(right)
-    plans: dict[int, list[tuple[int, int, int, int, int]]] = {}
+    plans: dict[int, list[tuple[dict[str, list[int]], int, int]]] = {}
 
-    def plan(length: int) -> list[tuple[int, int, int, int, int]]:
+    def plan(length: int) -> list[tuple[dict[str, list[int]], int, int]]:
         out = []
         for size in range(shortest(length), longest(length) + 1):
             if size in sizes:
                 t, apart = edits(max(length, size)), length - size
                 for i, (start, long) in enumerate(pieces(size, t + 1)):
                     first, last = max(start - i, start + apart - (t - i), 0), min(start + i, start + apart + (t - i), length - long)
-                    out += [(size, t, i, at, at + long) for at in range(first, last + 1)]
+                    out += [(known[size, t, i], at, at + long) for at in range(first, last + 1)]
         return out
 
     def alike(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -195,8 +200,8 @@ def similar_forms(left: list[str], right: list[str]) -> Iterator[tuple[np.ndarra
         if len(form) not in plans:
             plans[len(form)] = plan(len(form))
         met: set[int] = set()
-        for size, t, place, start, end in plans[len(form)]:
-            of = known.get((size, t, place, form[start:end]))
+        for of_piece, start, end in plans[len(form)]:
+            of = of_piece.get(form[start:end])
             if of:
                 met.update(of)
         a += [i] * len(met)
