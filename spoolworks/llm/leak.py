@@ -4,8 +4,8 @@ Passages and documents are compared as words without case, accents, punctuation
 
 1. *Sketches.* Test items are partitioned by size. Of a passage in a size class, a true case leaves at least so many shingles
    whole (:meth:`Case.whole_shingles` of the class's least size). A sketch is a bottom-k MinHash sample that leaves out the
-   shingles of greatest rank, half as many as must stay whole; so by the pigeonhole principle every true case still shares
-   the other half with the sketch, whatever the size, and no case is lost to chance. Ranks are exponential with the number
+   shingles of greatest rank, a third as many as must stay whole; so by the pigeonhole principle every true case still shares
+   the other two thirds with the sketch, whatever the size, and no case is lost to chance. Ranks are exponential with the number
    of items that hold a shingle (weighted MinHash), so the shingles common to many items are the first to be left out.
 2. *Search.* Documents are read once, whole. A Bloom filter of the sketches, whose size is bounded, drops most of their
    shingles where they are read; the rest is joined with the sketches by hash. Documents' hits are salted, so that a shingle
@@ -34,8 +34,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from spoolworks.session import Scratch, Sent
 
-#: Shingles have so many words.
-SHINGLE = 3
+#: Shingles have so many words; of those that stay whole in any case, a sketch may leave out one in so many.
+SHINGLE, SPARED = 3, 3
 #: Words whose hash a worker remembers.
 REMEMBERED = 500_000
 #: The filter has so many bits a sketched shingle, as a power of two within these bounds (16 MB at most), and so many probes.
@@ -126,7 +126,8 @@ class Case:
         """(class, shingles that its sketches leave out, shingles of a sketch that a true case shares at least)."""
         number = int(2 * np.log2(max(words, 1)))
         whole = self.whole_shingles(int(np.ceil(2 ** (number / 2) - 1e-9)))
-        return number, whole // 2, whole - whole // 2
+        spared = whole // SPARED
+        return number, spared, whole - spared
 
     def covered(self, equal: np.ndarray) -> np.ndarray:
         """Which places of the passage lie in a stretch, given where passage and document agree on one alignment."""
