@@ -1,8 +1,8 @@
 """Exact frequencies of every distinct term of a collection.
 
 Pairs of term and record are range-partitioned and sorted externally; a scan over the sorted runs counts a term's
-occurrences and distinct records. The range key includes the record, so a term that a third of all records carry is spread
-over many partitions, and each partition hands on one partial count for each term it holds.
+occurrences and distinct records. The range key includes the record (or a tie where there is none), so a term that a third of
+all records carry is spread over many partitions, and each partition hands on one partial count for each term it holds.
 """
 
 from __future__ import annotations
@@ -42,9 +42,10 @@ def term_frequencies(df: DataFrame, record: str, fields: Sequence[str]) -> DataF
     Occurrences count every element of every row, repeated rows included; records are distinct values of ``record``. Terms
     of rows without a record id occur but are in no record. An empty table has no terms.
     """
-    pairs = term_pairs(df, record, fields).repartitionByRange("field_name", "term", "record")
-    run = Window.partitionBy("field_name", "term", "record").orderBy("record")
-    scanned = pairs.sortWithinPartitions("field_name", "term", "record").withColumn("starts", F.row_number().over(run) == 1)
+    tie = F.when(F.col("record").isNull(), F.monotonically_increasing_id())  # rows without a record are no single key either
+    pairs = term_pairs(df, record, fields).withColumn("tie", tie).repartitionByRange("field_name", "term", "record", "tie")
+    run = Window.partitionBy("field_name", "term", "record", "tie").orderBy("record")
+    scanned = pairs.sortWithinPartitions("field_name", "term", "record", "tie").withColumn("starts", F.row_number().over(run) == 1)
     begins = F.col("starts") & F.col("record").isNotNull()
     return scanned.groupBy("field_name", "term").agg(F.count(F.lit(1)).alias("occurrences"), F.count(F.when(begins, 1)).alias("records"))
 
