@@ -148,21 +148,21 @@ def _item_of(name: str):
 
 
 def data_dictionary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``column_name, kind, missing, missing_percent, unique_values``; of lists the distinct lengths are counted."""
-    names = list(columns or df.columns)
-    counts = []
-    for name in names:
-        column, kind = F.col(name), df.schema[name].dataType
-        is_list = isinstance(kind, T.ArrayType)
+    """``column_name, kind, missing, missing_percent, unique_values``; of lists the distinct lengths are counted.
+
+    The values of all columns are counted in one pass and combined before they are shuffled. NaN is a value. A table without
+    rows has no entries.
+    """
+    pairs = []
+    for name in columns or df.columns:
+        column, is_list = F.col(name), isinstance(df.schema[name].dataType, T.ArrayType)
         gone = column.isNull() | (F.size(column) == 0) if is_list else column.isNull()
-        counts += [F.count_if(gone).alias(f"m_{name}"), F.count_distinct(F.size(column) if is_list else column).alias(f"u_{name}")]
-    one = df.agg(F.count(F.lit(1)).alias("n"), *counts)
-    rows = [
-        F.struct(F.lit(c).alias("column_name"), F.lit("list" if isinstance(df.schema[c].dataType, T.ArrayType) else "scalar").alias("kind"), F.col(f"m_{c}").alias("missing"),
-                 F.round(F.col(f"m_{c}") * 100 / F.col("n"), 4).alias("missing_percent"), F.col(f"u_{c}").alias("unique_values"))
-        for c in names
-    ]
-    return one.select(F.inline(F.array(*rows)))
+        value = F.when(column.isNotNull(), F.size(column).cast("string")) if is_list else column.cast("string")
+        pairs.append(F.struct(F.lit(name).alias("column_name"), F.lit("list" if is_list else "scalar").alias("kind"), gone.alias("gone"), value.alias("value")))
+    counts = df.select(F.inline(F.array(*pairs))).groupBy("column_name", "kind", "gone", "value").agg(F.count(F.lit(1)).alias("n"))
+    missing = F.sum(F.when(F.col("gone"), F.col("n")).otherwise(0))
+    # a list of no length is missing and still a length; no other value is both
+    return counts.groupBy("column_name", "kind").agg(missing.alias("missing"), F.round(missing * 100 / F.sum("n"), 4).alias("missing_percent"), F.count("value").alias("unique_values"))
 
 
 def aligned(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -95,8 +95,14 @@ def fuzzy_blocks(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def fuzzy_edges(blocks: DataFrame) -> DataFrame:
-    """``l, r, similarity, rank``: record pairs whose most similar titles exceed the least similarity; 2 is medium, 1 low."""
-    scored = blocks.withColumn("similarity", ratio("lt", "rt")).where(F.col("similarity") > LEAST_SIMILARITY)
+    """``l, r, similarity, rank``: record pairs whose most similar titles exceed the least similarity; 2 is medium, 1 low.
+
+    Two texts of so much similarity are no more edits apart than the letters outside their matching blocks, so most pairs are
+    left out before they reach Python.
+    """
+    apart = (F.length("lt") + F.length("rt")) * (1 - LEAST_SIMILARITY)
+    near = blocks.where(F.levenshtein("lt", "rt") <= apart)
+    scored = near.withColumn("similarity", ratio("lt", "rt")).where(F.col("similarity") > LEAST_SIMILARITY)
     rank = F.when(media_compatible(F.col("lm"), F.col("rm")) & (F.col("lmods") == F.col("rmods")), 2).otherwise(1)
     return scored.groupBy("l", "r").agg(F.max("similarity").alias("similarity"), F.max(rank).alias("rank"))
 

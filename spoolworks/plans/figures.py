@@ -57,16 +57,25 @@ def duplicate_counts(spark: SparkSession, folder: str) -> DataFrame:
     return audit.duplicates(table(spark, folder, "canonical_entities"), {"entity_id": ["entity_id"], "title_year": ["title", "release_year"]})
 
 
-_DICTIONARY = {"media_type": "scalar", "release_year": "scalar", "rating": "scalar", "status": "scalar", "genres": "list", "keywords": "list", "studios": "list", "original_language": "scalar"}
+# The columns of the canonical table by kind.
+_SCALARS = (
+    "source", "source_id", "title", "original_title", "media_type", "source_media_type", "release_date", "release_year", "end_date", "original_language", "overview", "rating", "vote_count", "popularity",
+    "rank", "favorites", "num_list_users", "status", "runtime", "num_episodes", "source_material", "tmdb_id", "mal_id", "entity_id", "match_confidence",
+)
+_LISTED = (
+    "alternative_titles", "genres", "origin_country", "studios", "production_companies", "production_countries", "discovered_from", "source_presence", "keywords", "themes", "demographics", "relations",
+)
 
 
-@query(f"WITH {U} " + " UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, '{k}' AS kind, count(*) FILTER ({c} IS NULL{f' OR len({c}) = 0' if k == 'list' else ''}) AS missing, round(count(*) FILTER ({c} IS NULL{f' OR len({c}) = 0' if k == 'list' else ''}) * 100 / count(*), 4) AS missing_percent, count(DISTINCT {f'len({c})' if k == 'list' else c}) AS unique_values FROM u"
-    for c, k in _DICTIONARY.items()
-))
+def _sql_entry(column: str, kind: str) -> str:
+    gone, value = (f"{column} IS NULL OR len({column}) = 0", f"len({column})") if kind == "list" else (f"{column} IS NULL", column)
+    return f"SELECT '{column}' AS column_name, '{kind}' AS kind, count(*) FILTER ({gone}) AS missing, round(count(*) FILTER ({gone}) * 100 / count(*), 4) AS missing_percent, count(DISTINCT {value}) AS unique_values FROM u"
+
+
+@query(f"WITH {U} " + " UNION ALL ".join([_sql_entry(c, "scalar") for c in _SCALARS] + [_sql_entry(c, "list") for c in _LISTED]))
 def data_dictionary(spark: SparkSession, folder: str) -> DataFrame:
-    """Kind, missing share and unique values of eight columns."""
-    return audit.data_dictionary(canonical_rows(spark, folder), list(_DICTIONARY))
+    """Kind, missing share and unique values of every column."""
+    return audit.data_dictionary(canonical_rows(spark, folder))
 
 
 @query(f"""WITH {U}, g AS (SELECT unnest(genres) AS genre, media_type FROM u) SELECT genre, count(*) FILTER (media_type = 'movie') AS movie, count(*) FILTER (media_type = 'tv') AS tv,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spoolworks.functions.text import strip
 from spoolworks.operators import profile, shred
+from spoolworks.plans.guesser import sql_strip
 from spoolworks.sources.tables import table
 
 JSON_FIELDS = ("alternative_titles", "genres", "studios")
@@ -193,3 +194,57 @@ FROM b GROUP BY ALL""",
 
 
 SQL |= _sql_profiles("", _sql_masks(PROFILED)) | _sql_profiles("_all", _sql_masks((*_NUMBERS, *_LISTS, *_OTHERS)))
+
+# --- nested records in SQL: DuckDB's JSON parser is strict, too; three quotations are undone, which the tables do not exceed
+
+
+def _sql_unquoted(x: str) -> str:
+    inner = f"({x} ->> '$')"
+    return f"CASE WHEN json_type({x}) <> 'VARCHAR' THEN {x} WHEN json_valid({inner}) THEN CAST({inner} AS JSON) WHEN left(ltrim({inner}), 1) IN ('{{', '[') THEN NULL ELSE {x} END"
+
+
+def _sql_listed(x: str) -> str:
+    return f"CASE json_type({x}) WHEN 'ARRAY' THEN json_extract({x}, '$[*]') ELSE [{x}] END"
+
+
+def _sql_scalar(x: str, more: str = "") -> str:
+    return f"CASE WHEN json_type({x}) IN ('VARCHAR', 'BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE'{more}) THEN {x} ->> '$' END"
+
+
+def _sql_child(key: str) -> str:
+    """The first scalar of a child of the object ``e``."""
+    present = f"list_filter({_sql_listed(f"(e -> '{key}')")}, lambda c: json_type(c) NOT IN ('NULL', 'OBJECT', 'ARRAY'))[1]"
+    return _sql_scalar(present, ", 'BOOLEAN'")
+
+
+def _sql_entries(source: str, columns: str, child: str, place: str) -> str:
+    """The entries ``e`` of a JSON value with their places, without wrappers; a single one has place 0."""
+    size = f"CAST(CASE json_type({child}) WHEN 'ARRAY' THEN json_array_length({child}) ELSE 1 END AS BIGINT)"
+    rows = f"SELECT {columns}, unnest({_sql_listed(child)}) AS e, unnest(range({size})) AS {place} FROM {source} WHERE {child} IS NOT NULL"
+    return f"SELECT {columns}, {place}, CASE WHEN json_type(e) = 'OBJECT' AND json_keys(e) = ['node'] THEN e -> 'node' ELSE e END AS e FROM ({rows})"
+
+
+def _sql_objects(source: str) -> str:
+    return f"(SELECT * FROM {source} {'AND' if 'WHERE' in source else 'WHERE'} json_type(e) = 'OBJECT')"
+
+
+_PLAIN_TITLES = _sql_objects("top ANTI JOIN tagged USING (line_no, f) WHERE f = 'alternative_titles'")
+_TAGS = " ".join(f"WHEN '{tag}' THEN '{label}'" for tag, label in TITLES.labels.items())
+_BY_LABEL = " UNION ALL ".join(f"SELECT line_no, '{label}' AS label, k, e FROM ({_sql_entries(_PLAIN_TITLES, 'line_no', f"(e -> '{label}')", 'k')})" for label in ("en", "ja", "synonyms"))
+_NAMED = f"CASE WHEN json_type(e) = 'OBJECT' THEN coalesce({', '.join(map(_sql_child, NAME))}) ELSE {_sql_scalar('e')} END"
+SQL["p1_found"] = f"""
+WITH raw AS (SELECT line_no, unnest({list(JSON_FIELDS)}) AS f, unnest([{', '.join(JSON_FIELDS)}]) AS t FROM discovery),
+j0 AS (SELECT line_no, f, CAST(t AS JSON) AS j FROM raw WHERE json_valid(t)),
+{', '.join(f"j{i} AS (SELECT line_no, f, {_sql_unquoted('j')} AS j FROM j{i - 1})" for i in (1, 2, 3))},
+top AS ({_sql_entries('j3', 'line_no, f', 'j', 'i')}),
+tagged AS (SELECT DISTINCT line_no, f FROM top SEMI JOIN (SELECT * FROM j3 WHERE json_type(j) = 'ARRAY') USING (line_no, f)
+  WHERE f = 'alternative_titles' AND json_type(e) = 'OBJECT' AND list_contains(json_keys(e), '{TITLES.tag}')),
+by_tag AS (SELECT line_no, CASE lower(trim(e ->> '$.{TITLES.tag}')) {_TAGS} END AS label, i, e FROM top SEMI JOIN tagged USING (line_no, f)),
+titles AS (SELECT line_no, label, row_number() OVER (PARTITION BY line_no, label ORDER BY i) - 1 AS k, e FROM by_tag WHERE label IS NOT NULL UNION ALL {_BY_LABEL}),
+units AS ({_sql_entries(_sql_objects("top WHERE f = 'studios'"), 'line_no, i', "(e -> 'units')", 'j')}),
+leads AS ({_sql_entries(_sql_objects('units'), 'line_no, i, j', "(e -> 'leads')", 'k')}),
+found AS (SELECT line_no, 'alternative_titles.' || label || CASE WHEN label = 'synonyms' THEN '[' || k || ']' ELSE '' END AS child_path, e FROM titles
+  UNION ALL SELECT line_no, f || '[' || i || ']', e FROM top WHERE f <> 'alternative_titles'
+  UNION ALL SELECT line_no, 'studios[' || i || '].units[' || j || ']', e FROM units
+  UNION ALL SELECT line_no, 'studios[' || i || '].units[' || j || '].leads[' || k || ']', e FROM leads)
+SELECT DISTINCT line_no, child_path, {sql_strip('n')} AS child_name FROM (SELECT line_no, child_path, {_NAMED} AS n FROM found) WHERE {sql_strip('n')} <> ''"""

@@ -234,6 +234,20 @@ def test_streaming_ingest_is_incremental(spark, tmp_path):
     assert run() == 2
 
 
+def test_late_rows_go_to_a_table_of_their_own(spark, tmp_path):
+    source, target, late, check = (str(tmp_path / n) for n in ("in", "out", "late", "check"))
+    schema = spark.createDataFrame([], "id bigint, at timestamp").schema
+
+    def run(rows):
+        spark.sql("SELECT " + " UNION ALL SELECT ".join(f"{i}L AS id, {f"TIMESTAMP'2024-01-{d:02}'" if d else 'CAST(NULL AS TIMESTAMP)'} AS at" for i, d in rows)).write.mode("append").json(source)
+        ingest.ingest_apart(ingest.stream_records(spark, source, schema), "at", "3 days", target, late, check).awaitTermination(120)
+        return tuple({r.id for r in spark.read.parquet(p).collect()} for p in (target, late))
+
+    assert run([(1, 1), (2, 10)]) == ({1, 2}, set())  # the first batch has none before it
+    assert run([(3, 7), (4, 6), (5, None), (6, 20)]) == ({1, 2, 3, 5, 6}, {4})
+    assert run([(7, 12)]) == ({1, 2, 3, 5, 6}, {4, 7})
+
+
 def test_tasks(spark):
     assert audit.year_tasks(spark, 2000, 2001).count() == 4 and audit.genre_tasks(spark, [1, 2], [1990], ["tv"]).count() == 2
 
