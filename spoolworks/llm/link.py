@@ -44,6 +44,8 @@ LENGTHS = 4
 MOST_FORMS = 30_000
 #: Classes of letters that are counted before two forms are compared, and pairs counted at once.
 LETTERS, AT_ONCE = 32, 1 << 17
+#: Contested pairs that are solved in one task, about; a group of more stays together.
+SOLVED_AT_ONCE = 20_000
 #: Residuals under which values count as solved, and decimals they are then good for, so that ties stay ties.
 SETTLED, DECIMALS = 1e-6, 4
 
@@ -389,7 +391,7 @@ def solve(points: np.ndarray, weights: np.ndarray, left: np.ndarray, right: np.n
 
 
 def _admm(grounded: DataFrame, rules: list[tuple[str, float]], rounds: int | None, step: float) -> DataFrame:
-    """``l, r, similar, value`` of contested pairs. Each group of pairs that share records is solved by itself, in one task."""
+    """``l, r, similar, value`` of contested pairs. A group of pairs that share records is solved in one task, many at once."""
     names, weights = [n for n, _ in rules], np.array([w for _, w in rules])
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
@@ -398,7 +400,9 @@ def _admm(grounded: DataFrame, rules: list[tuple[str, float]], rounds: int | Non
         value = solve(rows[names].to_numpy("float64").T, weights, left, right, rows["up_numbered"].to_numpy(), rounds, step)
         return rows[["l", "r", "similar"]].assign(value=value)
 
-    return _groups(grounded).groupBy("group").applyInPandas(one, "l bigint, r bigint, similar double, value double")
+    groups = _groups(grounded)
+    tasks = max(1, -(-groups.count() // SOLVED_AT_ONCE))
+    return groups.groupBy(F.pmod(F.xxhash64("group"), F.lit(tasks))).applyInPandas(one, "l bigint, r bigint, similar double, value double")
 
 
 def choose(values: DataFrame, least: float = 0.5) -> DataFrame:
