@@ -14,7 +14,7 @@ from spoolworks.operators import audit, lists, normalize, questions, resolve, si
 from spoolworks.plans import catalogue, figures, guesser, pipeline, records
 from spoolworks.session import Scratch, build_session
 from spoolworks.sources import crawl, rest
-from spoolworks.sources.tables import table
+from spoolworks.sources.tables import inspect, table
 
 #: Seed of the benchmark's sample, the reference's.
 SAMPLE_SEED = 42
@@ -86,8 +86,8 @@ def _sample(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return strata.sample_diverse(pipeline.canonical_rows(spark, a.root), a.target)
 
 
-def _status(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    return audit.view_counts(pipeline.canonical_rows(spark, a.root))
+def _status(spark: SparkSession, a: argparse.Namespace) -> dict[str, DataFrame]:
+    return {"tables": inspect(spark, a.root), "views": audit.view_counts(pipeline.canonical_rows(spark, a.root))}
 
 
 def _population(spark: SparkSession, a: argparse.Namespace) -> DataFrame:

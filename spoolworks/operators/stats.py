@@ -74,6 +74,15 @@ def moments(df: DataFrame, value: str) -> DataFrame:
     return good.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
 
 
+def p_value(d: Column, n: Column, m: Column, terms: int = 100) -> Column:
+    """:func:`ks_p_value` as a column."""
+    root = F.sqrt(n * m / (n + m))
+    x = (root + 0.12 + F.lit(0.11) / root) * d
+    term = lambda k: F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * x * x)
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0), lambda sum_, k: sum_ + term(k))
+    return F.when((n <= 0) | (m <= 0) | (x < 0.2), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * series)))
+
+
 def describe(df: DataFrame, value: str, at: Sequence[float] = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
     """``n, mean, sd`` and the quartiles and upper percentiles (interpolated) of a column.
 

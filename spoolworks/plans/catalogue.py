@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoolworks.functions.text import strip
-from spoolworks.operators import audit, lists, normalize, shred, simulate, stats
+from spoolworks.operators import audit, lists, normalize, resolve, shred, simulate, stats
 from spoolworks.plans import guesser, records
+from spoolworks.plans.figures import _CLEAN as _CLEAN_VALUES
 from spoolworks.plans.figures import _WEIGHTS, _with_sample
 from spoolworks.plans.guesser import U, sql_strip
-from spoolworks.plans.pipeline import _AUDIT, _DECADE, canonical_rows
+from spoolworks.plans.pipeline import _AUDIT, _DECADE, _SAMPLE, canonical_rows
+from spoolworks.sources import crawl
 from spoolworks.sources.tables import table
 
 QUERIES: dict = {}
@@ -111,6 +113,27 @@ def parsed_dates(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "tmdb_normalized").select("source_id", F.try_to_date(whole, "yyyy-MM-dd").alias("day")).withColumn("year", F.year("day"))
 
 
+@query("SELECT 'genre:' || g || ':' || d || ':' || m AS task_key, CAST(g AS INT) AS genre_id, CAST(d AS INT) AS decade, m AS task_media FROM (VALUES (16), (18), (35)) a(g) CROSS JOIN (VALUES (1990), (2000), (2010)) b(d) CROSS JOIN (VALUES ('movie'), ('tv')) c(m)")
+def genre_tasks(spark: SparkSession, folder: str) -> DataFrame:
+    """The crawl tasks of three genres in three decades."""
+    return audit.genre_tasks(spark, [16, 18, 35], [1990, 2000, 2010])
+
+
+@query("""SELECT 'low:' || y || ':' || m AS task_key, 'low_popularity' AS strategy, m AS endpoint, '{"sort_by": "vote_count.asc", "vote_count.gte": 1, "year": ' || y || '}' AS params
+FROM range(1990, 2027) t(y) CROSS JOIN (VALUES ('movie'), ('tv')) v(m)""")
+def low_popularity_tasks(spark: SparkSession, folder: str) -> DataFrame:
+    """The crawl tasks of the sweep of records with few votes."""
+    return crawl.low_popularity_tasks(spark, range(1990, 2027))
+
+
+@query()
+def canonical_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The canonical table that the process job makes: all links of high and medium confidence, exact and fuzzy, one to one."""
+    first, second = table(spark, folder, "tmdb_normalized"), table(spark, folder, "mal_normalized")
+    links = resolve.link_tables(first, second).where("match_confidence IN ('high', 'medium')")
+    return resolve.canonical(first, second, links).select("entity_id", "source", "media_type", "title", "match_confidence", F.array_join("genres", "|").alias("genres"))
+
+
 # --- quality and reports ------------------------------------------------------------------------------------------------
 
 # The fields of the quality table.
@@ -149,6 +172,27 @@ def reweighted_mean(spark: SparkSession, folder: str) -> DataFrame:
     return population.crossJoin(means).select(*[F.round(c, 6).alias(c) for c in ("population", "sample", "reweighted")])  # one row each
 
 
+@query(f"""WITH {_SAMPLE}, c AS (SELECT v, sum(a) AS a, sum(b) AS b FROM (SELECT v, 1 AS a, 0 AS b FROM {_CLEAN_VALUES.format('u')} UNION ALL SELECT v, 0, 1 FROM {_CLEAN_VALUES.format('sample')}) GROUP BY v),
+k AS (SELECT sum(a) OVER (ORDER BY v) / sum(a) OVER () AS fa, sum(b) OVER (ORDER BY v) / sum(b) OVER () AS fb, sum(a) OVER () AS n, sum(b) OVER () AS m FROM c),
+d AS (SELECT max(abs(fa - fb)) AS d, CAST(any_value(n) AS DOUBLE) AS n, CAST(any_value(m) AS DOUBLE) AS m FROM k), x AS (SELECT d, (sqrt(n * m / (n + m)) + 0.12 + 0.11 / sqrt(n * m / (n + m))) * d AS x FROM d)
+SELECT round(d, 6) AS ks, round(CASE WHEN x < 0.2 THEN 1 ELSE least(1, greatest(0, 2 * list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0::DOUBLE * k * k * x * x))))) END, 6) AS p_value FROM x""")
+def ks_test(spark: SparkSession, folder: str) -> DataFrame:
+    """The Kolmogorov-Smirnov statistic of popularity between table and sample, and its p-value."""
+    rows, sample = _with_sample(spark, folder)
+    n, m = (stats.moments(df, "popularity").select(F.col("n").alias(name)) for df, name in ((rows, "n"), (sample, "m")))
+    one = stats.distances(rows, sample, "popularity").crossJoin(n).crossJoin(m)  # one row each
+    return one.withColumn("p_value", F.round(stats.p_value(F.col("ks"), F.col("n"), F.col("m")), 6)).select(F.round("ks", 6).alias("ks"), "p_value")
+
+
+@query(f"WITH {U} SELECT source AS source, format('{{:,}}', count(*) * 1000) AS thousands, printf('%.1f%%', count(*) * 100.0 / (SELECT count(*) FROM u)) AS percent FROM u GROUP BY source")
+def formatted_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbers as a report writes them: with thousands separators, and shares in per cent."""
+    rows = canonical_rows(spark, folder)
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("source", F.format_number(F.col("n") * 1000, 0).alias("thousands"), F.format_string("%.1f%%", F.col("n") * 100.0 / total).alias("percent"))
+
+
 _SECTIONS = {
     "media_group": _AUDIT, "decade": _DECADE, "language": "original_language", "status": "status", "source": "source", "confidence": "match_confidence",
     "genre": "unnest(genres)", "country": "unnest(origin_country)", "studio": "unnest(studios)", "keyword": "unnest(keywords)",

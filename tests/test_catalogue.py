@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from spoolworks import cli
 from spoolworks.operators import audit, lists, predicates, questions, stats
 from spoolworks.plans import catalogue
-from spoolworks.sources import crawl, jsonl, rest
+from spoolworks.sources import crawl, jsonl, rest, tables
 
 TEXT = T.StringType()
 
@@ -153,3 +153,17 @@ def test_jobs_write_their_tables(spark, tmp_path):
     cli.main(["--root", root, "--output", f"{tmp_path}/g", "normalize-genres"])
     assert "genres" in spark.read.parquet(f"{tmp_path}/g").columns
     assert jsonl.read_lines(spark, f"{tmp_path}/a/checks").count() == 12
+
+
+def test_folders_and_lookups(spark, tmp_path):
+    spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (None, "d")], "id int, name string").write.parquet(f"{tmp_path}/genres.parquet")
+    row = tables.inspect(spark, str(tmp_path)).first()
+    assert (row.name, row.rows) == ("genres", 4) and row.bytes > 0 and tables.inspect(spark, f"{tmp_path}/absent").isEmpty()
+    assert tables.lookup(spark, f"{tmp_path}/genres.parquet", "id", "name") == {1: "a", 2: "c"}
+    with pytest.raises(ValueError):
+        tables.lookup(spark, f"{tmp_path}/genres.parquet", "id", "name", most=1)
+
+
+@pytest.mark.parametrize(("d", "n", "m"), [(0.0, 5, 5), (0.1, 100, 80), (0.5, 30, 40), (0.03, 5000, 2000), (1.0, 10, 10)])
+def test_p_value_as_a_column(spark, d, n, m):
+    assert spark.range(1).select(stats.p_value(F.lit(d), F.lit(n), F.lit(m))).first()[0] == pytest.approx(stats.ks_p_value(d, n, m))
