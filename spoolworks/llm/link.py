@@ -44,7 +44,7 @@ LENGTHS = 4
 MOST_FORMS = 30_000
 #: Classes of letters that are counted before two forms are compared, and pairs counted at once.
 LETTERS, AT_ONCE = 32, 1 << 17
-#: Contested pairs that are solved in one task, about; a group of more stays together.
+#: Contested pairs that are solved in one task, about; a group of more is solved by all executors.
 SOLVED_AT_ONCE = 20_000
 #: Residuals under which values count as solved, and decimals they are then good for, so that ties stay ties.
 SETTLED, DECIMALS = 1e-6, 4
@@ -391,7 +391,8 @@ def solve(points: np.ndarray, weights: np.ndarray, left: np.ndarray, right: np.n
 
 
 def _admm(grounded: DataFrame, rules: list[tuple[str, float]], rounds: int | None, step: float) -> DataFrame:
-    """``l, r, similar, value`` of contested pairs. A group of pairs that share records is solved in one task, many at once."""
+    """``l, r, similar, value`` of contested pairs. Groups of pairs that share records are solved many at once in one task;
+    those of more than ``SOLVED_AT_ONCE`` pairs by rounds over all executors. Both go through the same values."""
     names, weights = [n for n, _ in rules], np.array([w for _, w in rules])
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
@@ -400,9 +401,48 @@ def _admm(grounded: DataFrame, rules: list[tuple[str, float]], rounds: int | Non
         value = solve(rows[names].to_numpy("float64").T, weights, left, right, rows["up_numbered"].to_numpy(), rounds, step)
         return rows[["l", "r", "similar"]].assign(value=value)
 
-    groups = _groups(grounded)
-    tasks = max(1, -(-groups.count() // SOLVED_AT_ONCE))
-    return groups.groupBy(F.pmod(F.xxhash64("group"), F.lit(tasks))).applyInPandas(one, "l bigint, r bigint, similar double, value double")
+    with Scratch(grounded.sparkSession) as scratch:
+        groups = _groups(grounded)
+        sizes = scratch.keep(groups.groupBy("group").agg(F.count(F.lit(1)).alias("pairs")), "sizes")
+        large = sizes.where(F.col("pairs") > SOLVED_AT_ONCE).select("group")
+        small = groups.join(large, "group", "left_anti")
+        tasks = max(1, -(-(sizes.where(F.col("pairs") <= SOLVED_AT_ONCE).agg(F.sum("pairs")).first()[0] or 0) // SOLVED_AT_ONCE))
+        solved = small.groupBy(F.pmod(F.xxhash64("group"), F.lit(tasks))).applyInPandas(one, "l bigint, r bigint, similar double, value double")
+        if not large.isEmpty():
+            solved = solved.unionByName(_admm_rounds(groups.join(large, "group", "left_semi"), rules, rounds, step))
+        return scratch.hand_over(solved, "solved")
+
+
+def _admm_rounds(pairs: DataFrame, rules: list[tuple[str, float]], rounds: int | None, step: float) -> DataFrame:
+    """``l, r, similar, value``: :func:`solve` over all executors, for groups that no task should hold.
+
+    Every round a pair improves its rules' copies by itself; the copies of exclusivity need the sums over a record, which are
+    combined before they are shuffled. The state is written each round, so lost executors cost no more than that.
+    """
+    duals = [f"u_{n}" for n, _ in rules] + ["u_l", "u_r"]
+    state = pairs.select("l", "r", "similar", *[n for n, _ in rules], F.col("up_numbered").alias("z"), *[F.lit(0.0).alias(u) for u in duals])
+    with Scratch(pairs.sparkSession) as scratch:
+        now, done = scratch.keep(state, "state"), 0
+        while rounds is None or done < rounds:
+            sums = {s: now.groupBy(s).agg(F.sum(F.col("z") - F.col(f"u_{s}")).alias(f"sum_{s}"), F.count(F.lit(1)).alias(f"n_{s}")) for s in ("l", "r")}
+            met = now.join(sums["l"], "l").join(sums["r"], "r")
+            copies: dict[str, Column] = {}
+            for name, weight in rules:
+                v, pull = F.col("z") - F.col(f"u_{name}"), abs(weight) / step
+                copies[f"u_{name}"] = F.greatest(v, F.least(v + pull, F.col(name))) if weight > 0 else F.least(v, F.greatest(v - pull, F.col(name)))
+            for s in ("l", "r"):
+                copies[f"u_{s}"] = F.col("z") - F.col(f"u_{s}") - F.greatest((F.col(f"sum_{s}") - 1) / F.col(f"n_{s}"), F.lit(0.0))
+            improved = met.withColumns({f"x_{u}": x for u, x in copies.items()})
+            mean = sum((F.col(f"x_{u}") + F.col(u) for u in duals), F.lit(0.0)) / len(duals)
+            averaged = improved.withColumn("new", F.least(F.greatest(mean, F.lit(0.0)), F.lit(1.0)))
+            residual = F.greatest(*[F.abs(F.col(f"x_{u}") - F.col("new")) for u in duals], step * F.abs(F.col("new") - F.col("z")))
+            columns = ["l", "r", "similar", *[n for n, _ in rules], F.col("new").alias("z"), *[(F.col(u) + F.col(f"x_{u}") - F.col("new")).alias(u) for u in duals]]
+            now, done = scratch.keep(averaged.select(*columns, residual.alias("residual")), "state"), done + 1
+            scratch.clear(but=1)
+            if now.agg(F.max("residual")).first()[0] < SETTLED:
+                break
+            now = now.drop("residual")
+        return scratch.hand_over(now.select("l", "r", "similar", F.round("z", DECIMALS).alias("value")), "solved")
 
 
 def choose(values: DataFrame, least: float = 0.5) -> DataFrame:

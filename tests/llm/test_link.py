@@ -131,3 +131,15 @@ def test_rivals_of_near_years_are_solved(spark):
     assert got[1, 11] > 0.5 > got[1, 12] and abs(got[1, 11] + got[1, 12] - 1) < 1e-3
     assert all(abs(got[i, j] - 0.5) < 1e-3 for i in (2, 3) for j in (21, 22))
     assert (1, 11) in {(r.l, r.r) for r in link.choose(values).collect()}
+
+
+def test_large_groups_are_solved_by_rounds_over_all_executors(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, 100 + j, rng.choice([0.8, 1.0]), 1.0, rng.choice([0.5, 0.9, 1.0]), rng.choice([0.5, 1.0])) for i in range(4) for j in range(4) if rng.random() < 0.8] + [(50, 150, 1.0, 1.0, 1.0, 1.0), (50, 151, 1.0, 1.0, 0.9, 1.0)]
+    truth = spark.createDataFrame(rows, "l bigint, r bigint, similar double, number double, near double, kind double")
+    monkeypatch.setattr(link, "SETTLED", 0.02)
+    values = lambda: {(r.l, r.r): r.value for r in link.infer(truth, rounds=12).collect()}
+    in_tasks = values()
+    monkeypatch.setattr(link, "SOLVED_AT_ONCE", 3)  # the group of 50 is small enough, the other is not
+    by_rounds = values()
+    assert by_rounds.keys() == in_tasks.keys() and all(abs(by_rounds[k] - in_tasks[k]) <= 2e-4 for k in in_tasks)
