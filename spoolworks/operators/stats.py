@@ -11,10 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoolworks.session import Scratch
-
-#: A range has about so many rows.
-RANGE_ROWS = 500_000
+from spoolworks.session import materialise
 
 
 def entropy(n: Column) -> Column:
@@ -31,18 +28,16 @@ def feature_entropy(df: DataFrame, feature: str, value: Column | None = None) ->
 
 def running(df: DataFrame, value: str, sums: Sequence[str], ties: Sequence[str] = ()) -> DataFrame:
     """``df`` with ``upto_<column>`` for each of the sums, in the order of ``value`` and ``ties``, and ``next_value``."""
-    with Scratch(df.sparkSession) as scratch:
-        kept = scratch.keep(df, "rows")
-        n = max(1, -(-kept.count() // RANGE_ROWS))
-        keyed = scratch.keep(kept.repartitionByRange(n, value, *ties).withColumn("_range", F.spark_partition_id()), "ranges")
-        totals = keyed.groupBy("_range").agg(*[F.sum(c).alias(f"_all_{c}") for c in sums], F.min(value).alias("_least"))
-        every = Window.orderBy("_range")  # one row for each range
-        before = totals.select("_range", *[(F.sum(f"_all_{c}").over(every) - F.col(f"_all_{c}")).alias(f"_before_{c}") for c in sums], F.lead("_least").over(every).alias("_next"))
-        order = Window.partitionBy("_range").orderBy(value, *ties)
-        inside = order.rowsBetween(Window.unboundedPreceding, 0)
-        joined = keyed.join(F.broadcast(before), "_range")
-        columns = {f"upto_{c}": F.col(f"_before_{c}") + F.sum(c).over(inside) for c in sums} | {"next_value": F.coalesce(F.lead(value).over(order), "_next")}
-        return scratch.hand_over(joined.withColumns(columns).drop("_range", "_next", *[f"_before_{c}" for c in sums]), "running")
+    # ranges are as many as the session's shuffle partitions, small ones being joined; the table fixes where they are cut
+    keyed = materialise(df.repartitionByRange(value, *ties).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = keyed.groupBy("_range").agg(*[F.sum(c).alias(f"_all_{c}") for c in sums], F.min(value).alias("_least"))
+    every = Window.orderBy("_range")  # one row for each range
+    before = totals.select("_range", *[(F.sum(f"_all_{c}").over(every) - F.col(f"_all_{c}")).alias(f"_before_{c}") for c in sums], F.lead("_least").over(every).alias("_next"))
+    order = Window.partitionBy("_range").orderBy(value, *ties)
+    inside = order.rowsBetween(Window.unboundedPreceding, 0)
+    joined = keyed.join(F.broadcast(before), "_range")
+    columns = {f"upto_{c}": F.col(f"_before_{c}") + F.sum(c).over(inside) for c in sums} | {"next_value": F.coalesce(F.lead(value).over(order), "_next")}
+    return joined.withColumns(columns).drop("_range", "_next", *[f"_before_{c}" for c in sums])
 
 
 def distances(a: DataFrame, b: DataFrame, value: str) -> DataFrame:

@@ -288,8 +288,9 @@ def test_assignment_of_a_hot_title_takes_few_rounds(spark, monkeypatch):
     assert rounds.count("picks") <= 2
 
 
-def test_running_sums_and_percentiles_of_a_hot_value(spark, monkeypatch):
-    monkeypatch.setattr(stats, "RANGE_ROWS", 40)
+@pytest.mark.parametrize("joined", ["true", "false"])
+def test_running_sums_and_percentiles_of_a_hot_value(spark, joined):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", joined)  # with "false" there are several ranges
     values = [0.0] * 400 + [float(i % 37) for i in range(200)]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "k int, v double")
     got = stats.running(df.withColumn("w", F.lit(1)), "v", ["w"], ["k"]).orderBy("v", "k").collect()
@@ -298,3 +299,4 @@ def test_running_sums_and_percentiles_of_a_hot_value(spark, monkeypatch):
     row = stats.describe(df, "v").first()
     assert [row.p25, row.p50, row.p75, row.p90, row.p95, row.p99] == pytest.approx(want) and row.n == 600
     assert stats.describe(df.limit(0), "v").first().p50 is None
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
