@@ -47,12 +47,20 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     folder = "file://" + tempfile.mkdtemp(prefix="spoolworks-")
     context.setCheckpointDir(folder)
+    _own(spark, folder)
     return folder
 
 
 _FOLDERS: dict[str, SparkSession] = {}
 
 
+def _own(spark: SparkSession, folder: str) -> None:
+    """Have a folder removed when the process ends."""
+    if not _FOLDERS:
+        atexit.register(_sweep)
+    _FOLDERS[folder] = spark
+
+
 def _sweep() -> None:
     """Remove the folders of this process's applications."""
     for folder, spark in _FOLDERS.items():
@@ -63,9 +71,7 @@ def _sweep() -> None:
 def work_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, below a folder of the application, which is removed when the process ends."""
     folder = f"{shared_dir(spark)}/spoolworks-{spark.sparkContext.applicationId}"
-    if not _FOLDERS:
-        atexit.register(_sweep)
-    _FOLDERS[folder] = spark
+    _own(spark, folder)
     return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
